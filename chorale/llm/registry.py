@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from chorale.llm import exact_dedup, near_dedup
+from chorale.llm import bpe, decontamination, exact_dedup, near_dedup, quality
 
 
 def queries() -> dict:
     return {
+        "op2_quality_classifier": quality.op2,
         "op4_minhash_near_dedup": near_dedup.op4,
         "op5_exact_dedup": exact_dedup.op5,
+        "op6_bpe_round_trip": bpe.op6,
+        "op10_benchmark_decontamination": decontamination.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op10_benchmark_decontamination": decontamination.ORACLE_SQL,
     }
