@@ -10,8 +10,8 @@ distance once in about 8,000 times. Whatever shares a key is confirmed on the fu
 Texts with equal sets are one class with one representative, so copies are never paired. A key that few representatives
 share gives all their pairs. A key that many share gives the pairs with its smallest id first (a star). Once those are
 confirmed, only keys whose members still fall into several components matter, and the members go through an exact
-prefix-filtered join: two sets with similarity 0.75 share one of their rarest shingles, those beyond 3/4 of the set. No
-partner or candidate is dropped on the way.
+prefix-filtered join with bounds on size and place (`_prefix_pairs`), which every link passes. No partner or candidate is
+dropped on the way.
 
 Cases: a null or empty text has an empty set, is kept and is linked with nothing. With fewer than five words the whole
 sequence is the only shingle. Rows that repeat a doc_id are one vertex each by their sets. Other columns are not read.
@@ -173,24 +173,35 @@ class NearDuplicates:
         return materialize(both.filter("100 * common >= 75 * (total - common)").select("a", "b"), "links")
 
     def _prefix_pairs(self, ids: DataFrame, comps: DataFrame) -> DataFrame:
-        """Pairs of different components among `ids` that share one of the rarest shingles of each, as any link does."""
+        """Pairs of different components among `ids` that the bounds of a prefix-filtered join leave, as they leave any link.
+
+        The shingles of a set are ranked by how many sets of `ids` hold them; those of one set only can't be common and
+        are left out, but count in its size n. A link needs 3/7 (n_x + n_y) common shingles. With m ranked shingles, at
+        most m - place of them are common if the first common one has this place; so that one stands in the prefix of
+        both, and a set links only with sets whose size its own bound allows. Sizes are compared in steps of 5 %.
+        """
         sets = materialize(self._shingles_of(ids).dropDuplicates(["id"]), "sets")
-        tokens = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+        tokens = sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
         counts = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "counts")
-        # a shingle of one text only links nothing, yet takes one of the places of the prefix
         common = tokens.join(counts, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-        length = F.col("n") - F.ceil(F.col("n") * 75 / 100) + 1 - (F.col("n") - F.size("ranked"))
-        prefix = common.filter(length > 0).select("id", "n", F.explode(F.slice("ranked", 1, length.cast("int"))).alias("t"))
-        prefix = prefix.select("id", "n", "t.token").join(comps.select("id", "comp"), "id", "left")
-        prefix = materialize(prefix.withColumn("comp", F.coalesce("comp", "id")), "prefix")
+        common = common.withColumn("m", F.size("ranked").cast("long"))
+        length = F.greatest(F.lit(0), F.expr("m - ceil(n * 75 / 100) + 1")).cast("int")
+        prefix = common.select("id", "n", "m", F.posexplode(F.slice("ranked", 1, length)).alias("place", "t"))
+        prefix = prefix.select("id", "n", (F.col("m") - F.col("place")).alias("left"), "t.token")
+        prefix = prefix.join(comps.select("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        prefix = materialize(prefix, "prefix")
         per = prefix.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
         major = per.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
         major = materialize(major.select("token", F.col("top.comp").alias("major")), "major")
-        rows = materialize(prefix.join(major, "token"), "rows")
+        step = lambda n: F.floor(F.log(n) / F.log(F.lit(1.05)))
+        rows = materialize(prefix.join(major, "token").withColumn("step", step(F.col("n"))), "rows")
         # members of a token's largest component are paired with the others only
-        x = rows.filter("comp <> major").select("token", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "comp")))
-        y = rows.select("token", "major", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "comp")))
-        pairs = x.join(y, "token").filter("comp_x <> comp_y and (comp_y = major or id_x < id_y)")
+        names = ("id", "n", "left", "comp")
+        least, most = F.ceil(F.col("n") * 3 / 4), F.floor(F.col("left") * 7 / 3) - F.col("n")
+        x = rows.filter("comp <> major").filter(least <= most).withColumn("step", F.explode(F.sequence(step(least), step(most))))
+        x = x.select("token", "step", *(F.col(c).alias(f"{c}_x") for c in names))
+        y = rows.select("token", "step", "major", *(F.col(c).alias(f"{c}_y") for c in names))
+        pairs = x.join(y, ["token", "step"]).filter("comp_x <> comp_y and 7 * least(left_x, left_y) >= 3 * (n_x + n_y)")
         pairs = pairs.filter("100 * least(n_x, n_y) >= 75 * greatest(n_x, n_y)")
         return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
