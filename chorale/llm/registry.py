@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from chorale.llm import bpe, chat, decontamination, exact_dedup, near_dedup, quality, warc
+from chorale.llm import bpe, chat, decontamination, exact_dedup, near_dedup, quality, secrets, warc
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secrets.op1,
         "op2_quality_classifier": quality.op2,
         "op3_chat_formatting": chat.op3,
         "op4_minhash_near_dedup": near_dedup.op4,
