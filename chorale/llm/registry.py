@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chorale.llm import bpe, chat, decontamination, exact_dedup, near_dedup, quality, secrets, token_counts, warc
+from chorale.llm import bpe, chat, decontamination, exact_dedup, lm_scoring, near_dedup, quality, secrets, token_counts, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_minhash_near_dedup": near_dedup.op4,
         "op5_exact_dedup": exact_dedup.op5,
         "op6_bpe_round_trip": bpe.op6,
+        "op7_lm_scoring": lm_scoring.op7,
         "op8_warc_round_trip": warc.op8,
         "op9_token_counts": token_counts.op9,
         "op10_benchmark_decontamination": decontamination.op10,
