@@ -14,7 +14,8 @@ prefix-filtered join with bounds on size and place (`_prefix_pairs`), which ever
 dropped on the way.
 
 Cases: a null or empty text has an empty set, is kept and is linked with nothing. With fewer than five words the whole
-sequence is the only shingle. Rows that repeat a doc_id are one vertex each by their sets. Other columns are not read.
+sequence is the only shingle. Rows
+that repeat a doc_id are one vertex with the links of all their texts. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -166,7 +167,7 @@ class NearDuplicates:
 
     def _confirmed_on_sets(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-        sets = materialize(self._shingles_of(ends), "sets").dropDuplicates(["id"])
+        sets = materialize(self._shingles_of(ends), "sets")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("common"))
@@ -180,8 +181,9 @@ class NearDuplicates:
         most m - place of them are common if the first common one has this place; so that one stands in the prefix of
         both, and a set links only with sets whose size its own bound allows. Sizes are compared in steps of 5 %.
         """
-        sets = materialize(self._shingles_of(ids).dropDuplicates(["id"]), "sets")
+        sets = materialize(self._shingles_of(ids), "sets")
         tokens = sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
+        # (a repeated row only raises counts, which weakens the bounds)
         counts = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "counts")
         common = tokens.join(counts, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
         common = common.withColumn("m", F.size("ranked").cast("long"))
