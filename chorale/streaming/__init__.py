@@ -1,0 +1 @@
+"""Empty: every metric is a batch over complete sets, and there is no event time to stream by."""
