@@ -14,8 +14,8 @@ prefix-filtered join with bounds on size and place (`_prefix_pairs`), which ever
 dropped on the way.
 
 Cases: a null or empty text has an empty set, is kept and is linked with nothing. With fewer than five words the whole
-sequence is the only shingle. Rows
-that repeat a doc_id are one vertex with the links of all their texts. Other columns are not read.
+sequence is the only shingle. Rows that repeat a doc_id are one vertex with the links of all their texts. Other columns
+are not read.
 """
 
 from __future__ import annotations

@@ -26,6 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chorale.functions.text import let, matches
 from chorale.llm.common import read_table
 
 #: Patterns of the base kinds (fixed values).
@@ -49,42 +50,6 @@ SPAN = "struct<start:bigint,rank:int,stop:bigint>"
 NO_SPANS = f"cast(array() as array<{SPAN}>)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, however often the body or a lambda in it uses it."""
-    return F.transform(F.array(value), lambda v: body(v))[0]
-
-
-def running_sum(numbers: Column, block: int = 64) -> Column:
-    """Inclusive prefix sums of an array of long, by sums of blocks, so that long arrays don't cost their square."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-
-    def with_blocks(sums: Column) -> Column:
-        before = F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b)))
-        return let(
-            before,
-            lambda base: F.transform(
-                numbers,
-                lambda _, i: F.get(base, F.floor(i / block).cast("int")) + total(F.slice(numbers, (i - i % block) + 1, i % block + 1)),
-            ),
-        )
-
-    blocks = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int"))
-    sums = F.transform(blocks, lambda b: total(F.slice(numbers, b * block + 1, F.lit(block))))
-    return let(sums, with_blocks)
-
-
-def matches(text: Column, pattern: str, body: Callable[[Column, Column], Column], empty: str) -> Column:
-    """body(matched strings, ends in code points) of the leftmost non-overlapping matches, or `empty` where none is."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-
-    def located(m: Column) -> Column:
-        steps = let(between, lambda parts: F.transform(m, lambda x, i: (F.length(x) + F.length(F.get(parts, i))).cast("long")))
-        return let(let(steps, running_sum), lambda ends: body(m, ends))
-
-    return F.when(text.rlike(pattern), let(found, located)).otherwise(F.expr(empty))
-
-
 def _span(m: Column, end: Column, rank: int) -> Column:
     return F.struct((end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("stop"))
 
