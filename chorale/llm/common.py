@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import chorale
 
@@ -55,6 +56,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that a join may broadcast, after they were counted: at 8 bytes each some 16 MB on an executor.
+BROADCAST_IDS = 1 << 20
+
+
+def counted(ids: DataFrame, name: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A written table of ids (one long column) that joins broadcast if it has at most `limit` rows, and shuffle beyond."""
+    ids = materialize(ids, name)
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

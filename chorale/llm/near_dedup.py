@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from chorale.llm.common import (
     LOWER,
     SPACE_WORDS,
+    counted,
     materialize,
     mix64,
     read_table,
@@ -161,7 +162,7 @@ class NearDuplicates:
         return self._confirmed_on_sets(materialize(near.mapInArrow(_near_signatures, "a long, b long"), "near"))
 
     def _shingles_of(self, ids: DataFrame) -> DataFrame:
-        wanted = ids.select(F.col("id").alias("doc_id")).distinct()
+        wanted = counted(ids.select(F.col("id").alias("doc_id")).distinct(), "wanted")
         texts = self.texts.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
         return texts.mapInArrow(_sets, "id long, shingles array<long>")
 
