@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from chorale.llm.common import (
     ALNUM_WORDS,
     LOWER,
+    counted,
     materialize,
     read_table,
     scan_words,
@@ -264,7 +265,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, blo
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their columns as they came."""
     bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__chorale_id"))
-    return docs.join(materialize(bad, "contaminated"), F.col("doc_id") == F.col("__chorale_id"), "left_anti")
+    return docs.join(counted(bad, "contaminated"), F.col("doc_id") == F.col("__chorale_id"), "left_anti")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

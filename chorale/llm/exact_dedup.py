@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm.common import materialize, read_table
+from chorale.llm.common import counted, materialize, read_table
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -204,7 +204,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with their columns as they came."""
     gone = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("__chorale_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("__chorale_id"), "left_anti")
+    return docs.join(counted(gone, "gone"), F.col("doc_id") == F.col("__chorale_id"), "left_anti")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

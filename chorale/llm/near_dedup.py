@@ -243,7 +243,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, one of each component, with their columns as they came."""
     gone = near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("__chorale_id"))
-    return docs.join(materialize(gone, "gone"), F.col("doc_id") == F.col("__chorale_id"), "left_anti")
+    return docs.join(counted(gone, "gone"), F.col("doc_id") == F.col("__chorale_id"), "left_anti")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
