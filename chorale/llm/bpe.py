@@ -28,7 +28,7 @@ from chorale.llm.common import process_cache, read_table
 
 #: The pattern of byte-level BPE (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 NONE = np.int64(2**62)
 
 
