@@ -23,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_formatting": chat.ORACLE_SQL,
+        "op4_minhash_near_dedup": near_dedup.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_warc_round_trip": warc.ORACLE_SQL,
         "op10_benchmark_decontamination": decontamination.ORACLE_SQL,
