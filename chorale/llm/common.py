@@ -21,7 +21,7 @@ import chorale
 # Functions of this package travel inside the task, so executors need no copy of the repository.
 cloudpickle.register_pickle_by_value(chorale)
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def process_cache() -> dict:
