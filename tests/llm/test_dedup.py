@@ -88,6 +88,11 @@ def test_near_on_tricky_rows(spark):
     assert got[5] == (1, 4, False)
 
 
+def test_near_on_the_table(spark, data):
+    documents = spark.read.parquet(f"{data}/documents.parquet")
+    assert same_rows(near_dedup.op4(spark, data).toArrow(), oracle(near_dedup.ORACLE_SQL, documents=documents))
+
+
 @pytest.mark.parametrize("small", [24, 1])
 def test_near_against_all_pairs(spark, data, monkeypatch, small):
     """With small = 1 every shared key goes through stars and the prefix join."""
