@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secret_scan": secrets.ORACLE_SQL,
         "op3_chat_formatting": chat.ORACLE_SQL,
         "op4_minhash_near_dedup": near_dedup.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,

@@ -192,3 +192,43 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def _located_sql(name: str, pattern: str) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""{name}_m AS (SELECT rid, unnest(m) AS m, unnest(range(1, len(m) + 1)) AS k, parts FROM (SELECT rid, regexp_extract_all(text, {p}) AS m, string_split_regex(text, {p}) AS parts FROM t)),
+{name} AS (SELECT rid, m, CAST(sum(length(parts[k]) + length(m)) OVER (PARTITION BY rid ORDER BY k) AS BIGINT) AS stop FROM {name}_m)"""
+
+
+def _tail_sql(z: str) -> str:
+    return f"greatest(1e-12, 1 / (1 + exp(least(40.0, 0.07056 * {z} * {z} * {z} + 1.5976 * {z}))))"
+
+
+_KLASS_SQL = " + ".join(f"CAST(length(m) >= {c} AS INT)" for c in LENGTH_CLASSES)
+_ALPHABET_SQL = "CASE k " + " ".join(f"WHEN {k} THEN '{a}'" for k, a in ALPHABETS.items()) + " END"
+_HALVES_SQL = "CASE k " + " ".join(f"WHEN {k} THEN '{'0' * (k // 2)}{'1' * (k // 2)}'" for k in ALPHABETS) + " END"
+_BOUNDS_SQL = ", ".join(map(str, BOUNDS))
+ORACLE_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+{_located_sql("a", ASSIGN)}, {_located_sql("b", ACCESS)}, {_located_sql("h", "[0-9a-f]{24,}")}, {_located_sql("r", "[A-Za-z0-9+/_=-]{20,}")},
+base AS (SELECT rid, stop - length(m) AS start, 0 AS rank, stop FROM a WHERE length(regexp_extract(m, '{ASSIGN.replace("'", "''")}', 2)) >= 6
+  UNION ALL SELECT rid, stop - length(m), 1, stop FROM b WHERE length(m) >= 20 UNION ALL SELECT rid, stop - length(m), 2, stop FROM h WHERE length(m) >= 24),
+enc AS (SELECT *, {_KLASS_SQL} AS klass, CASE WHEN regexp_full_match(m, '[0-9a-f]+|[0-9A-F]+') THEN 16 WHEN regexp_full_match(m, '[A-Z2-7]+=*') THEN 32 ELSE 64 END AS k FROM r),
+nor AS (SELECT *, CASE k WHEN 16 THEN lower(m) WHEN 32 THEN replace(m, '=', '') ELSE replace(translate(m, '-_', '+/'), '=', '') END AS s, {_ALPHABET_SQL} AS al FROM enc),
+one AS (SELECT *, CAST(length(s) AS DOUBLE) AS n, list_sum([pow(length(s) - length(replace(s, c, '')), 2) FOR c IN string_split(al, '')]) AS sq, translate(s, al, {_HALVES_SQL}) AS half,
+  [CAST(strpos(al, c) - 1 AS DOUBLE) FOR c IN string_split(s, '')] AS x FROM nor WHERE length(s) >= 8),
+two AS (SELECT *, (k * sq / n - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n) AS chi, 2 * (n - length(replace(half, '0', ''))) * (n - length(replace(half, '1', ''))) AS pr,
+  (n - length(replace(half, '01', ''))) / 2 + (n - length(replace(half, '10', ''))) / 2 AS turns, list_sum(x) / n AS mean FROM one),
+thr AS (SELECT *, pr * (pr - n) / (n * n * (n - 1)) AS var, list_sum([(v - mean) * (v - mean) FOR v IN x]) AS spread, list_sum([(x[i] - mean) * (x[i + 1] - mean) FOR i IN range(1, len(x))]) AS near FROM two),
+fou AS (SELECT *, CASE WHEN var > 0 THEN abs((turns - pr / n) / sqrt(greatest(var, 1e-9))) ELSE 9.0 END AS runs, CASE WHEN spread > 0 THEN abs((near / nullif(spread, 0) + 1 / n) * sqrt(n)) ELSE 9.0 END AS serial FROM thr),
+fiv AS (SELECT *, -(ln({_tail_sql("chi")}) + ln(least(1.0, 2 * {_tail_sql("runs")})) + ln(least(1.0, 2 * {_tail_sql("serial")}))) AS y FROM fou),
+cand AS (SELECT rid, stop - length(m) AS start, stop, klass, exp(-y) * (1 + y + y * y / 2) AS p FROM fiv UNION ALL SELECT rid, stop - length(m), stop, klass, 0.0 FROM nor WHERE length(s) < 8),
+up AS (SELECT klass, count(*) FILTER (p >= 0.5) AS u FROM cand GROUP BY klass),
+ok AS (SELECT c.klass, b.b, any_value(u) AS u, count(*) FILTER (p >= b.b) AS n FROM cand c JOIN up USING (klass), (SELECT CAST(unnest([{_BOUNDS_SQL}]) AS DOUBLE) AS b) b GROUP BY c.klass, b.b),
+bo AS (SELECT klass, CASE WHEN any_value(u) >= {FEW} THEN min(b) FILTER (n > 0 AND 1 - 2 * u * (1 - b) / n <= {FALSE_SHARE}) ELSE {DEFAULT_BOUND} END AS bound FROM ok GROUP BY klass),
+alls AS (SELECT * FROM base UNION ALL SELECT rid, start, 3, stop FROM cand JOIN bo USING (klass) WHERE p >= bound),
+per AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  coalesce(string_agg((['assign', 'access', 'hex', 'random'])[rank + 1] || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3), '') AS bs,
+  string_agg((['assign', 'access', 'hex', 'random'])[rank + 1] || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM alls GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN per USING (rid)
+"""
