@@ -127,3 +127,15 @@ def _scalar(text: str) -> Any:
         except ValueError:
             pass
     return {"true": True, "false": False, "null": None, "~": None}.get(text, text)
+
+
+def role_map(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
+    """(policy_id, stakeholder_type, kg_role) of the configuration's role_map."""
+    rows = [(p, t, r) for p, types in config["role_map"].items() for t, r in types.items()]
+    return spark.createDataFrame(rows, "policy_id string, stakeholder_type string, kg_role string")
+
+
+def ground_truth(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
+    """(policy_id, phase, target, metric, gt, lo, hi) of the configuration's gt_map; a policy may be absent from it."""
+    rows = [(p, m["phase"], m["var"], name, float(m["gt"]), float(m["range"][0]), float(m["range"][1])) for p, metrics in config.get("gt_map", {}).items() for name, m in metrics.items()]
+    return spark.createDataFrame(rows, "policy_id string, phase string, target string, metric string, gt double, lo double, hi double")
