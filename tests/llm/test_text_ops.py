@@ -54,6 +54,14 @@ def test_base_spans_against_python(spark):
         assert set(want) <= set(spans) and [s for s in spans if not s.startswith("random")] == want
 
 
+def test_battery_and_false_share_against_sql(spark, data):
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice(rng.choice(list(secrets.ALPHABETS.values()))) for _ in range(rng.randint(18, 130))) for _ in range(3))) for i in range(60)]
+    table = docs(spark, rows + [(100 + i, t) for i, t in enumerate(SECRETS)] + [(200, None), (201, "")])
+    assert same_rows(secrets.scan_secrets(table).toArrow(), oracle(secrets.ORACLE_SQL, documents=table))
+    assert same_rows(secrets.op1(spark, data).toArrow(), oracle(secrets.ORACLE_SQL, documents=spark.read.parquet(f"{data}/documents.parquet")))
+
+
 def test_random_strings_are_found_and_structured_ones_are_not(spark):
     rng = random.Random(2)
     alphabet = secrets.ALPHABETS[64]
