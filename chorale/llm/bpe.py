@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm.common import process_cache, read_table
+from chorale.llm.common import process_cache, read_table, tidy
 
 #: The pattern of byte-level BPE (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -149,16 +150,15 @@ def model_of(held, specials: bool = True) -> ByteBPE:
     return cache[key]
 
 
-def _runs(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about `limit` characters, one row at least."""
-    first = total = 0
-    for i, n in enumerate(sizes):
-        if i > first and total + n > limit:
-            yield first, i
-            first, total = i, 0
-        total += n
-    if first < len(sizes):
-        yield first, len(sizes)
+def _runs(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about `limit` bytes, one row at least, so that few texts are Python strings at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, side="right")))
+        yield first, last
+        first = last
 
 
 def encoder(held, specials: bool = True):
@@ -167,12 +167,12 @@ def encoder(held, specials: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(held, specials)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            rest = batch.drop_columns(["text"])
-            for a, b in _runs([len(t) for t in texts]):
-                yield rest.slice(a, b - a).append_column("ids", pa.array(model.encode_batch(texts[a:b]), pa.binary()))
+            rest, column = batch.drop_columns(["text"]), batch.column("text")
+            for a, b in _runs(column):
+                texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
+                yield rest.slice(a, b - a).append_column("ids", pa.array(model.encode_batch(texts), pa.binary()))
 
-    return run
+    return tidy(run)
 
 
 def decoder(held):
@@ -181,12 +181,12 @@ def decoder(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(held)
         for batch in batches:
-            ids = [i or b"" for i in batch.column("ids").to_pylist()]
-            rest = batch.drop_columns(["ids"])
-            for a, b in _runs([len(i) for i in ids]):
-                yield rest.slice(a, b - a).append_column("decoded", pa.array(model.decode_batch(ids[a:b]), pa.string()))
+            rest, column = batch.drop_columns(["ids"]), batch.column("ids")
+            for a, b in _runs(column):
+                ids = [i or b"" for i in column.slice(a, b - a).to_pylist()]
+                yield rest.slice(a, b - a).append_column("decoded", pa.array(model.decode_batch(ids), pa.string()))
 
-    return run
+    return tidy(run)
 
 
 def hold_vocabulary(spark: SparkSession, path: str | None = None):

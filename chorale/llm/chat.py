@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm.common import read_table
+from chorale.llm.common import read_table, tidy
 
 #: Control strings of the template (fixed values).
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]"]
@@ -187,7 +187,7 @@ def _format(template: Template):
         if rows:
             yield flush()
 
-    return run
+    return tidy(run)
 
 
 def format_conversations(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
@@ -201,6 +201,7 @@ def format_conversations(turns: DataFrame, template: Template = TEMPLATE) -> Dat
     return rows.mapInArrow(_format(template), "conv_id long, segment long, text string, n_turns long, loss array<struct<a:long,b:long>>, rewrites long")
 
 
+@tidy
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a conversation from its segments, which come together and in order."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

@@ -35,6 +35,7 @@ from chorale.llm.common import (
     scan_words,
     sequence_hash,
     text_chunks,
+    tidy,
     word_hashes,
 )
 
@@ -130,7 +131,7 @@ def _counter(index):
                 {"width": pa.array([width] * len(some), pa.int32()), "slot": pa.array(some), "n": pa.array(n[some])}
             )
 
-    return run
+    return tidy(run)
 
 
 def _finish(n_words: int, spans: list[tuple[int, int]], items: set[str]) -> tuple[int, int, str]:
@@ -196,7 +197,7 @@ def _one_block(index):
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _of_block(index):
@@ -210,9 +211,10 @@ def _of_block(index):
                 names=["doc_id", "text_key", "n_words", "spans", "items"],
             )
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [_finish(r["n_words"], [(s["a"], s["b"]) for s in r["spans"]], set(r["items"])) for r in batch.to_pylist()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm.common import counted, materialize, read_table
+from chorale.llm.common import counted, materialize, read_table, tidy
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -142,6 +142,7 @@ def _least(a, b):
     return b if a is None else a if b is None else min(a, b)
 
 
+@tidy
 def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Apply the rows of one shard in order (op 0: stored keys, 1: deletions, 2: insertions) and give its live digests."""
     index = CuckooIndex()

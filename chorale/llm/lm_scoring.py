@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm.common import LOWER, SPACE_WORDS, STEP, materialize, mix64, read_table, scan_words, text_chunks, word_hashes
+from chorale.llm.common import LOWER, SPACE_WORDS, STEP, materialize, mix64, read_table, scan_words, text_chunks, tidy, word_hashes
 
 CONTEXT_SHARE = 1 / 1000
 TABLE_ROWS = 1 << 20
@@ -84,7 +84,7 @@ def _contexts(share: float):
                 [pa.array([*found[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[many].tolist(), len(tokens)], pa.int64())], names=["h", "c"]
             )
 
-    return run
+    return tidy(run)
 
 
 def _place(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -119,9 +119,10 @@ def _counts(contexts):
             for i in range(0, len(w), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["w", "u", "c", "part", "frequent"])
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a token: its contexts and counts. Holds the (token, context) counts of one shuffle partition."""
     parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("w", "u", "c", "frequent")] for b in batches]
@@ -165,7 +166,7 @@ def _dishes(contexts: int):
             total[-1] += np.array([len(c), c.sum(), (c == 1).sum(), (c == 2).sum()], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(contexts + 2, dtype=np.int32)), *(pa.array(total[:, k]) for k in range(4))], names=["u", "a", "b", "n1", "n2"])
 
-    return run
+    return tidy(run)
 
 
 def seat(c: np.ndarray, chance: np.ndarray, others: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -223,7 +224,7 @@ def _sweeps(state, rounds: tuple[int, int], averaged: bool):
         if not averaged:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tables), dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["u", "t", "c"])
 
-    return run
+    return tidy(run)
 
 
 def _bin(x: np.ndarray) -> np.ndarray:
@@ -244,7 +245,7 @@ def _totals(contexts: int):
         kinds = [(k, i, float(x)) for k, xs in enumerate((sums, root, words, pairs)) for i, x in enumerate(xs) if x]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kinds], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], names=["kind", "i", "x"])
 
-    return run
+    return tidy(run)
 
 
 def _threshold(counts: dict[int, float], most: int) -> float:
@@ -305,7 +306,7 @@ def _score(model):
                     names=["key", "w", "u", "local"],
                 )
 
-    return run
+    return tidy(run)
 
 
 LOCAL = "struct<doc_id:bigint,n:bigint,known:bigint,base:double,score:double>"

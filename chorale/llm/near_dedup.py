@@ -38,6 +38,7 @@ from chorale.llm.common import (
     scan_words,
     sequence_hash,
     text_chunks,
+    tidy,
     word_hashes,
 )
 from chorale.llm.components import connected_components
@@ -75,6 +76,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix64(least.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
+@tidy
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ns, his, los, sigs = [], [], [], []
@@ -104,6 +106,7 @@ def chunk_keys(lanes: np.ndarray) -> np.ndarray:
     return keys
 
 
+@tidy
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
@@ -115,6 +118,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -127,6 +131,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@tidy
 def _near_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures differ in at most DISTANCE lanes."""
     for batch in batches:

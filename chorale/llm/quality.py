@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm.common import LOWER, SPACE_WORDS, read_table, scan_words, sequence_hash, text_chunks, word_hashes
+from chorale.llm.common import LOWER, SPACE_WORDS, read_table, release_memory, scan_words, sequence_hash, text_chunks, word_hashes
 
 SAMPLE_ROWS = 12_000
 KEEP_FROM = 0.3
@@ -114,6 +114,7 @@ def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _statistics_column(text):
     rows = [_statistics(data, offsets) for _, _, data, offsets in text_chunks(text)]
     table = np.concatenate(rows) if rows else np.zeros((0, len(STATISTICS)))
+    release_memory()
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(STATISTICS))], names=STATISTICS)
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chorale.llm.common import fresh_path, materialize, process_cache, read_table
+from chorale.llm.common import fresh_path, materialize, process_cache, read_table, tidy
 
 END_ID = 50256
 BLOCK_BYTES = 4 << 20
@@ -69,7 +69,7 @@ def _writer(folder: str, held, pattern: str, end_id: int):
                 n += k
         yield pa.RecordBatch.from_pydict({"file": [name], "ordinal": [None], "doc_id": [None], "bytes": [size]}, schema=_MANIFEST)
 
-    return run
+    return tidy(run)
 
 
 def write_token_files(docs: DataFrame, folder: str, ranks_path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +110,7 @@ def _scanner(folder: str, end_id: int, block_bytes: int):
                 row = [name, block, start, len(raw) // 2, ends, head, between, start + last if last >= 0 else None]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
 
-    return run
+    return tidy(run)
 
 
 def count_tokens(files: DataFrame, folder: str, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> DataFrame:

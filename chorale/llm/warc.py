@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm.common import fresh_path, materialize, read_table
+from chorale.llm.common import fresh_path, materialize, read_table, tidy
 
 MIN_REVISIT = 1000
 RECORDS_PER_FILE = 5000
@@ -155,7 +155,7 @@ def _normaliser(folder: str):
                     n = normalise(stream, archive, index)
                 yield pa.RecordBatch.from_pydict({"archive": [name], "records": pa.array([n], pa.int64())})
 
-    return run
+    return tidy(run)
 
 
 def read_record(raw: bytes) -> dict:
@@ -196,7 +196,7 @@ def _reader(folder: str):
                             rows.append(read_record(zlib.decompress(archive.read(length), 31)))
                         yield pa.RecordBatch.from_pylist(rows, schema=_RESULT)
 
-    return run
+    return tidy(run)
 
 
 def normalised_archives(spark: SparkSession, monolithic: str, folder: str) -> DataFrame:
