@@ -24,7 +24,7 @@ place. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,30 +58,30 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return tokens, before, begin
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens and contexts in arrays of about WINDOW_TOKENS."""
+def _windows(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[list[np.ndarray]]:
+    """make(tokens, contexts) of each chunk of texts, its arrays put together for about WINDOW_TOKENS tokens."""
     held, n = [], 0
     for batch in batches:
         for _, _, data, offsets in text_chunks(batch.column("text")):
             tokens, before, _ = tokens_of(data, offsets)
-            held.append((tokens, before))
+            held.append(make(tokens, before))
             n += len(tokens)
             if n >= WINDOW_TOKENS:
-                yield tuple(np.concatenate(x) for x in zip(*held))
+                yield [np.concatenate(x) for x in zip(*held)]
                 held, n = [], 0
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held))
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 def _contexts(share: float):
     """Contexts that hold a tenth of the share in a window, and (null) the window's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, before in _windows(batches):
+        for (before,) in _windows(batches, lambda tokens, before: (before,)):
             found, counts = np.unique(before, return_counts=True)
-            many = counts >= share / 10 * len(tokens)
+            many = counts >= share / 10 * len(before)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*found[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[many].tolist(), len(tokens)], pa.int64())], names=["h", "c"]
+                [pa.array([*found[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[many].tolist(), len(before)], pa.int64())], names=["h", "c"]
             )
 
     return tidy(run)
@@ -109,13 +109,16 @@ def _counts(contexts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = contexts.value
-        for tokens, before in _windows(batches):
+
+        def keyed(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
             u = _place(before, known)
-            keys = pair_key(tokens, u)
+            return tokens, u.astype(np.int32), pair_key(tokens, u)
+
+        for tokens, u, keys in _windows(batches, keyed):
             _, at, counts = np.unique(keys, return_index=True, return_counts=True)
             w, u, keys = tokens[at], u[at], keys[at]
             frequent = _place(w, known) > 0
-            columns = [w.view(np.int64), u.astype(np.int32), counts.astype(np.int64), np.where(frequent, keys, w).view(np.int64), frequent]
+            columns = [w.view(np.int64), u, counts.astype(np.int64), np.where(frequent, keys, w).view(np.int64), frequent]
             for i in range(0, len(w), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["w", "u", "c", "part", "frequent"])
 
