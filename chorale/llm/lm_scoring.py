@@ -36,7 +36,7 @@ from chorale.llm.common import LOWER, SPACE_WORDS, STEP, materialize, mix64, rea
 
 CONTEXT_SHARE = 1 / 1000
 TABLE_ROWS = 1 << 20
-WINDOW_TOKENS = 2 << 20
+WINDOW_TOKENS = 1 << 20
 THETA = 1.0
 BURN_IN, SAMPLES = 3, 4
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BE6546B64)
