@@ -117,7 +117,9 @@ def words_only(text: Column) -> Column:
 
 def rate_grounding(utterances: DataFrame, corpus: DataFrame, keys: list[str], n: int = 4, least: float = 0.08) -> DataFrame:
     """(keys, utterance_id, suggested, score): share of an utterance's distinct n-grams that stand in the corpus; null without any."""
-    gram = lambda df, *c: df.select(*keys, *c, F.explode(F.array_distinct(T.ngrams(words_only(F.col("text")), n))).alias("g"))
+    # the words of an n-gram hold no blank, so joined ones are equal where the n-grams are
+    grams = F.array_distinct(F.transform(T.ngrams(words_only(F.col("text")), n), lambda g: F.array_join(g, " ")))
+    gram = lambda df, *c: df.select(*keys, *c, F.explode(grams).alias("g"))
     known = gram(corpus).distinct().withColumn("hit", F.lit(1))
     per = gram(utterances, "utterance_id").join(known, [*keys, "g"], "left").groupBy(*keys, "utterance_id").agg(F.count(F.lit(1)).alias("t"), F.count("hit").alias("h"))
     share = F.col("h").cast("double") / F.col("t")
