@@ -189,6 +189,21 @@ def decoder(held):
     return tidy(run)
 
 
+def coder(held):
+    """mapInArrow function: replaces column `text` by `ids` and by `decoded`, what the ids decode to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(held)
+        for batch in batches:
+            rest, column = batch.drop_columns(["text"]), batch.column("text")
+            for a, b in _runs(column):
+                ids = model.encode_batch([t or "" for t in column.slice(a, b - a).to_pylist()])
+                out = rest.slice(a, b - a).append_column("ids", pa.array(ids, pa.binary()))
+                yield out.append_column("decoded", pa.array(model.decode_batch(ids), pa.string()))
+
+    return tidy(run)
+
+
 def hold_vocabulary(spark: SparkSession, path: str | None = None):
     """Broadcast the file of a vocabulary (about 1.5 MB; its size doesn't depend on the data)."""
     with open(path or vocabulary_path(), encoding="utf-8") as f:
@@ -214,10 +229,11 @@ def digest(x: Column) -> Column:
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, through the ids and back."""
-    ids = encode(docs, path)
-    ids = ids.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), "ids")
-    return decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", digest(F.col("decoded")).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, through the ids and back in one Python process a task."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = rows.mapInArrow(coder(hold_vocabulary(docs.sparkSession, path)), "doc_id long, ids binary, decoded string")
+    n = F.expr("octet_length(ids) div 4").cast("long")
+    return both.select("doc_id", n.alias("n_tokens"), digest(F.col("ids")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
