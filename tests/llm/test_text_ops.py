@@ -178,6 +178,12 @@ def test_bpe_on_tricky_rows(spark, library):
     assert bpe.round_trip(docs(spark, [])).count() == 0
 
 
+def test_encoding_and_decoding_as_steps_of_their_own(spark):
+    out = bpe.decode(bpe.encode(docs(spark, TRICKY)).withColumn("extra", F.lit(1)))
+    assert out.columns == ["doc_id", "extra", "decoded"]
+    assert Counter((r.doc_id, r.decoded) for r in out.collect()) == Counter((i, t or "") for i, t in TRICKY)
+
+
 def test_bpe_cache_limit_changes_nothing(model, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
     texts = ["some words here", "and other words there", "some words here"]
