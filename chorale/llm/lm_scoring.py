@@ -1,21 +1,27 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
 Tokens are words of the lower-cased text, then one end a document; a token's context is the token before it. The model has
-one restaurant for each context that holds at least CONTEXT_SHARE of the training tokens, so at most 1 / (0.9
-CONTEXT_SHARE) of them whatever the corpus, and a root restaurant that is the parent of all. Tokens in other contexts are
-customers of the root itself. The root's base is uniform over the words seen and one place for words never seen.
-
-Training counts every (token, context) of the training documents. All counts of a word stand in one row, so that seating
-needs no further shuffle. A Gibbs sweep empties the tables of a dish and seats its customers again one by one by the
-Chinese-restaurant rule, given the tables of all other dishes: first in the context restaurants, whose new tables are
-customers of the parent, then in the root. (Beyond 64 customers they come in groups of 1/32 of those seated, with a
-binomial number of new tables.) Restaurant totals, a table of bounded size, are renewed between two rounds of sweeps;
-within a round every row samples by itself. Customers and tables are averaged over the last sweeps, which gives the
-averaged predictive probabilities; these sum to 1. Discounts are estimated from the numbers of dishes seen once and twice.
-
-Scoring reads each text once. Words and pairs frequent enough for a table of at most TABLE_ROWS are looked up on the
-spot; the others are joined with the model by word and summed by document. So scores are exact for every token, and what
-is broadcast doesn't grow with the corpus.
+one restaurant for every context of the training documents, however rare, and a root restaurant that is the parent of all.
+Tokens in contexts that training never saw are drawn from the root. The root's base is uniform over the words seen and one
+place for words never seen.
+
+Training counts every (token, context) of the training documents. Counts are dealt to parts by word, so that the root's
+numbers of a word are at hand where its tokens are seated; words that hold SPREAD_SHARE of the tokens are dealt by pair,
+and their numbers (few words) are summed on the driver. A part's state is a file in the shared folder. Totals of contexts
+are dealt to parts by context: each word part sends its sums by context there and gets the sums over all parts back, in
+the order of its own contexts. So nothing that is broadcast or collected grows with the number of contexts or pairs.
+
+A Gibbs sweep empties the tables of a dish and seats its customers again one by one by the Chinese-restaurant rule, given
+the tables of all other dishes: first in the context restaurants, whose new tables are customers of the parent, then in the
+root. (Beyond 64 customers they come in groups of 1/32 of those seated, with a binomial number of new tables.) Restaurant
+totals are renewed between two rounds of sweeps; within a round every part samples by itself. Customers and tables are
+averaged over the last sweeps, which gives the averaged predictive probabilities; these sum to 1. Discounts are estimated
+from the numbers of dishes seen once and twice.
+
+Scoring reads each text once. Tokens whose word, context and pair are frequent enough for a table of at most TABLE_ROWS are
+scored on the spot; the others are sent to the part of their word. A pair never seen has the probability of its word at the
+root times a weight of its context, so if a part doesn't know the context, the weight is joined by context. Sums by document
+follow. So scores are exact for every token, and what is broadcast doesn't grow with the corpus.
 
 Cases: a null or empty text is one end token. A document without id is never learned from and counts as held out.
 Repeated rows give repeated rows; in training they count each. Without training documents the base is uniform over one
@@ -24,19 +30,25 @@ place. Other columns are not read.
 
 from __future__ import annotations
 
+import gc
+import pickle
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm.common import LOWER, SPACE_WORDS, STEP, materialize, mix64, read_table, scan_words, text_chunks, tidy, word_hashes
+from chorale.llm.common import LOWER, SPACE_WORDS, STEP, fresh_path, materialize, mix64, read_table, scan_words, text_chunks, tidy, word_hashes
 
-CONTEXT_SHARE = 1 / 1000
+SPREAD_SHARE = 1 / 1000
+PART_BYTES = 16 << 20
 TABLE_ROWS = 1 << 20
 WINDOW_TOKENS = 1 << 20
+FAR_BYTES = 4 << 20
 THETA = 1.0
 BURN_IN, SAMPLES = 3, 4
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BE6546B64)
@@ -73,15 +85,15 @@ def _windows(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[list
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _contexts(share: float):
-    """Contexts that hold a tenth of the share in a window, and (null) the window's tokens."""
+def _frequent(share: float):
+    """Words that hold a tenth of the share in a window, and (null) the window's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (before,) in _windows(batches, lambda tokens, before: (before,)):
-            found, counts = np.unique(before, return_counts=True)
-            many = counts >= share / 10 * len(before)
+        for (tokens,) in _windows(batches, lambda tokens, before: (tokens,)):
+            found, counts = np.unique(tokens, return_counts=True)
+            many = counts >= share / 10 * len(tokens)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*found[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[many].tolist(), len(before)], pa.int64())], names=["h", "c"]
+                [pa.array([*found[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[many].tolist(), len(tokens)], pa.int64())], names=["h", "c"]
             )
 
     return tidy(run)
@@ -100,74 +112,215 @@ def _place(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def pair_key(tokens: np.ndarray, u: np.ndarray) -> np.ndarray:
-    return mix64(tokens + u.astype(np.uint64) * STEP)
+class Table:
+    """Sorted hashes that are looked up by their leading bits."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(len(keys).bit_length(), 1))
+        self.starts = np.searchsorted(keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def place(self, values: np.ndarray) -> np.ndarray:
+        """As _place."""
+        out = np.zeros(len(values), np.int64)
+        bucket = (values >> self.shift).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        left = np.flatnonzero(at < end)
+        at, end, sought = at[left], end[left], values[left]
+        while len(left):
+            same = self.keys[at] == sought
+            out[left[same]] = at[same] + 1
+            at = at + 1
+            more = np.flatnonzero(~same & (at < end))
+            left, at, end, sought = left[more], at[more], end[more], sought[more]
+        return out
+
+
+def pair_key(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix64(tokens + before * STEP)
+
+
+def _range(h: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a hash; parts are ranges of hashes, in order."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _part(tokens: np.ndarray, before: np.ndarray, spread: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of (token, context) and the parts in it: by token, of frequent tokens by both."""
+    h = np.where(_place(tokens, spread) > 0, pair_key(tokens, before), mix64(tokens))
+    order = np.argsort(h)
+    return order, _range(h[order], parts)
+
+
+def _blobs(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(part, its rows of the columns as bytes, column after column) for sorted parts."""
+    bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for i, j in zip(bounds, [*bounds[1:], len(part)]):
+        yield int(part[i]), b"".join(c[i:j].tobytes() for c in columns)
+
+
+def _columns(blobs: list[bytes], types: list) -> list[np.ndarray]:
+    """What _blobs made bytes of, blob after blob."""
+    width = sum(np.dtype(t).itemsize for t in types)
+    held = [[] for _ in types]
+    for raw in blobs:
+        n, at = len(raw) // width, 0
+        for out, t in zip(held, types):
+            out.append(np.frombuffer(raw, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(held, types)]
+
+
+def _pack(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """As _blobs, with hashes as places in a list of those that occur: hashes don't compress."""
+    bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for i, j in zip(bounds, [*bounds[1:], len(part)]):
+        out = [np.int64(j - i).tobytes()]
+        for c in columns:
+            if c.dtype == np.uint64:
+                found, at = np.unique(c[i:j], return_inverse=True)
+                out += [np.int64(len(found)).tobytes(), found.tobytes(), at.astype(_places(len(found))).tobytes()]
+            else:
+                out.append(c[i:j].tobytes())
+        yield int(part[i]), b"".join(out)
 
 
-def _counts(contexts):
-    """Counts of (token, context) in each window. part: rows with one part meet in one task; those of a frequent token spread."""
+def _places(n: int) -> type:
+    return np.uint16 if n <= 1 << 16 else np.int32
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = contexts.value
 
-        def keyed(tokens: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-            u = _place(before, known)
-            return tokens, u.astype(np.int32), pair_key(tokens, u)
+def _unpack(blobs: list[bytes], types: list) -> list[np.ndarray]:
+    """What _pack made bytes of, blob after blob."""
+    held = [[] for _ in types]
+    for raw in blobs:
+        at = 8
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+
+        def take(t, n):
+            nonlocal at
+            out = np.frombuffer(raw, t, n, at)
+            at += out.nbytes
+            return out
+
+        for out, t in zip(held, types):
+            if t is np.uint64:
+                found = take(t, int(take(np.int64, 1)[0]))
+                out.append(found[take(_places(len(found)), n)])
+            else:
+                out.append(take(t, n))
+    return [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(held, types)]
+
+
+MESSAGE = "p int, kind int, source int, data binary"
+
+
+def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["p", "kind", "source", "data"])
+
+
+def _dealt(messages: DataFrame, parts: int) -> DataFrame:
+    return messages.repartition(parts, "p").sortWithinPartitions("p", "kind", "source")
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """Each part with its messages (kind, source, data), sorted."""
+    p, held = None, []
+    for batch in batches:
+        for part, kind, source, data in zip(*(batch.column(c).to_pylist() for c in ("p", "kind", "source", "data"))):
+            if part != p and held:
+                yield p, held
+                held = []
+            p = part
+            held.append((kind, source, data))
+    if held:
+        yield p, held
+
 
-        for tokens, u, keys in _windows(batches, keyed):
+def _put(folder: str, name: str, value: dict) -> None:
+    """Write a part's state; a repeated task puts the same in its place."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(base, recursive=True)
+    own = f"{base}/{uuid.uuid4().hex}"
+    with fs.open_output_stream(own, compression="lz4") as out:
+        out.write(pickle.dumps(value, protocol=5))
+    fs.move(own, f"{base}/{name}")
+
+
+def _get(folder: str, name: str) -> dict:
+    fs, base = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{base}/{name}", compression="lz4") as f:
+        return pickle.loads(f.read())
+
+
+def _stats(folder: str, name: str, parts: int) -> list[dict]:
+    """The small numbers that each part left; parts without rows have none."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    found = fs.get_file_info([f"{base}/{name}-{p}" for p in range(parts)])
+    return [_get(folder, f.base_name) for f in found if f.type == pafs.FileType.File]
+
+
+def _counts(parts: int, spread):
+    """Counts of (token, context) in each window, as messages to the parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, before, keys in _windows(batches, lambda tokens, before: (tokens, before, pair_key(tokens, before))):
             _, at, counts = np.unique(keys, return_index=True, return_counts=True)
-            w, u, keys = tokens[at], u[at], keys[at]
-            frequent = _place(w, known) > 0
-            columns = [w.view(np.int64), u, counts.astype(np.int64), np.where(frequent, keys, w).view(np.int64), frequent]
-            for i in range(0, len(w), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=["w", "u", "c", "part", "frequent"])
+            w, v = tokens[at], before[at]
+            order, p = _part(w, v, spread.value, parts)
+            yield _messages([(q, 0, 0, raw) for q, raw in _pack(p, [w[order], v[order], counts[order].astype(np.int32)])])
 
     return tidy(run)
 
 
-@tidy
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a token: its contexts and counts. Holds the (token, context) counts of one shuffle partition."""
-    parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("w", "u", "c", "frequent")] for b in batches]
-    if not parts:
-        return
-    w, u, c, frequent = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((u, w))
-    w, u, c, frequent = w[order], u[order], c[order], frequent[order]
-    first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1])))
-    c = np.add.reduceat(c, first)
-    w, u, frequent = w[first], u[first], frequent[first]
-    start = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-    bounds = np.append(start, len(w))
-    for i in range(0, len(start), 20_000):
-        own = bounds[i : i + 20_001]
-        offsets = pa.array((own - own[0]).astype(np.int32))
-        rows = slice(own[0], own[-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(w[own[:-1]]), pa.array(frequent[own[:-1]]), pa.ListArray.from_arrays(offsets, pa.array(u[rows])), pa.ListArray.from_arrays(offsets, pa.array(c[rows]))],
-            names=["w", "frequent", "us", "cs"],
-        )
+def _ask(p: int, contexts: np.ndarray, parts: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Messages of part p to the parts of its (sorted) contexts, with sums of each."""
+    return _messages([(q, 0, p, raw) for q, raw in _blobs(_range(contexts, parts), [contexts, *columns])])
 
 
-def _flat(batch: pa.RecordBatch, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of each entry, its context, its value."""
-    us, vs = batch.column("us"), batch.column(value)
-    lengths = np.diff(us.offsets.to_numpy())
-    return np.repeat(np.arange(batch.num_rows), lengths), us.flatten().to_numpy().astype(np.int64), vs.flatten().to_numpy()
+def _merge(folder: str, parts: int, spread):
+    """Joins the counts of a part to its state: words, bounds of their entries, context and count of each; asks for dishes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p, messages in _by_part(batches):
+            w, v, c = _unpack([m[2] for m in messages], [np.uint64, np.uint64, np.int32])
+            del messages
+            order = np.lexsort((v, w))
+            w, v, c = w[order], v[order], c[order].astype(np.int64)
+            first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])))
+            w, v, c = w[first], v[first], np.add.reduceat(c, first)
+            start = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            words, lengths = w[start], np.diff(np.append(start, len(w)))
+            count = np.add.reduceat(c, start)
+            place = _place(words, spread.value)
+            own = place == 0
+            several = np.zeros((2, len(spread.value)))
+            several[:, place[~own] - 1] = lengths[~own], count[~own]
+            _put(folder, f"state-{p}", {"words": words, "lengths": lengths, "count": count, "v": v, "c": c})
+            _put(folder, f"counted-{p}", {
+                "p": p,
+                "dishes": np.array([(c == 1).sum(), (c == 2).sum()]), "root": np.array([own.sum(), lengths[own].sum(), (lengths[own] == 1).sum(), (lengths[own] == 2).sum()]),
+                "tokens": int(c.sum()), "several": several,
+            })
+            contexts, at = np.unique(v, return_inverse=True)
+            yield _ask(p, contexts, parts, [np.bincount(at, minlength=len(contexts)).astype(np.float64)])
 
-def _dishes(contexts: int):
-    """Per context: dishes, customers, dishes with one and with two customers; the last row has the same for the root."""
+    return tidy(run)
+
+
+def _answer(columns: int):
+    """Sums by context over all parts that asked, in the order of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((contexts + 2, 4), np.int64)
-        for batch in batches:
-            row, u, c = _flat(batch, "cs")
-            for k, x in enumerate((None, c, c == 1, c == 2)):
-                total[:-1, k] += np.bincount(u, weights=x, minlength=contexts + 1).astype(np.int64)
-            c = np.bincount(row, weights=np.where(u == 0, c, 1), minlength=batch.num_rows)
-            total[-1] += np.array([len(c), c.sum(), (c == 1).sum(), (c == 2).sum()], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(contexts + 2, dtype=np.int32)), *(pa.array(total[:, k]) for k in range(4))], names=["u", "a", "b", "n1", "n2"])
+        for q, messages in _by_part(batches):
+            v, *xs = _columns([m[2] for m in messages], [np.uint64, *[np.float64] * columns])
+            _, at = np.unique(v, return_inverse=True)
+            sums = [np.bincount(at, weights=x)[at] for x in xs]
+            begin = 0
+            for _, p, raw in messages:
+                n = len(raw) // (8 * (columns + 1))
+                yield _messages([(p, 0, q, b"".join(x[begin : begin + n].tobytes() for x in sums))])
+                begin += n
 
     return tidy(run)
 
@@ -187,45 +340,50 @@ def seat(c: np.ndarray, chance: np.ndarray, others: np.ndarray, d: float, rng: n
     return t
 
 
-def _sweeps(state, rounds: tuple[int, int], averaged: bool):
-    """Gibbs sweeps over the rows of a task: restaurant totals, or the averaged model."""
+def _sweeps(folder: str, parts: int, state, rounds: tuple[int, int], averaged: bool):
+    """Gibbs sweeps over a part, given the tables of its contexts; asks for the new tables, or for the averaged model's sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = state.value
-        tables, customers, d, words = m["tables"], m["customers"], m["discounts"], m["words"]
-        total = np.zeros((len(tables), 2))
-        root = len(tables) - 1
-        for batch in batches:
-            row, u, c = _flat(batch, "cs")
-            n = batch.num_rows
-            rng = np.random.default_rng([int(batch.column("w")[0].as_py()) & 0x7FFFFFFF, n, int(averaged)])
-            inner = u > 0
-            r, v, k = row[inner], u[inner], c[inner].astype(np.float64)
-            direct = np.bincount(row[~inner], weights=c[~inner], minlength=n)
-            t, c0, t0 = np.ones(len(k)), None, np.ones(n)
-            c0 = direct + np.bincount(r, weights=t, minlength=n)
-            kept_t, kept_c0, kept_t0 = np.zeros(len(k)), np.zeros(n), np.zeros(n)
-            base = np.full(n, 1 / (words + 1))
+        d, spread = m["discounts"], m["spread"]
+        for p, messages in _by_part(batches):
+            (tables,) = _columns([x[2] for x in messages], [np.float64])
+            held = _get(folder, f"state-{p}")
+            c, words = held["c"].astype(np.float64), held["words"]
+            contexts, at = np.unique(held["v"], return_inverse=True)
+            n = len(words)
+            r, total = np.repeat(np.arange(n), held["lengths"]), tables[at]
+            place = _place(words, spread)
+            several = np.flatnonzero(place)
+            # customers that other parts hold of a frequent word
+            others = np.zeros(n)
+            others[several] = m["several"][place[several] - 1] - m["own"].get(p, np.zeros(len(spread)))[place[several] - 1]
+            rng = np.random.default_rng([p, int(averaged)])
+            t, t0 = np.ones(len(c)), np.ones(n)
+            c0 = others + held["lengths"]
+            kept_t, kept_c0, kept_t0 = np.zeros(len(c)), np.zeros(n), np.zeros(n)
+            base = np.full(n, 1 / (m["words"] + 1))
             for sweep in range(sum(rounds)):
-                p0 = (np.maximum(c0 - d[1] * t0, 0) + (THETA + d[1] * tables[root]) * base) / (THETA + customers[root])
-                t = seat(k, p0[r], np.maximum(tables[v] - t, 0), d[0], rng)
-                c0 = direct + np.bincount(r, weights=t, minlength=n)
-                t0 = seat(c0, base, np.maximum(tables[root] - t0, 0), d[1], rng)
+                p0 = (np.maximum(c0 - d[1] * t0, 0) + (THETA + d[1] * m["tables"]) * base) / (THETA + m["customers"])
+                t = seat(c, p0[r], np.maximum(total - t, 0), d[0], rng)
+                c0 = others + np.bincount(r, weights=t, minlength=n)
+                t0 = seat(c0, base, np.maximum(m["tables"] - t0, 0), d[1], rng)
                 if sweep >= rounds[0]:
-                    kept_t, kept_c0, kept_t0 = kept_t + t / rounds[1], kept_c0 + c0 / rounds[1], kept_t0 + t0 / rounds[1]
+                    kept_t, kept_c0, kept_t0 = kept_t + t / rounds[1], kept_c0 + (c0 - others) / rounds[1], kept_t0 + t0 / rounds[1]
+            shared = np.zeros((3, len(spread)))
+            shared[:, place[several] - 1] = kept_c0[several], kept_t0[several], np.ones(len(several))
+            own = place == 0
+            found = {"p": p, "shared": shared, "root": np.array([kept_t0[own].sum(), kept_c0[own].sum()])}
+            sums = lambda x: np.bincount(at, weights=x, minlength=len(contexts))
             if averaged:
-                values = np.zeros(len(c), np.float32)
-                values[inner] = k - d[0] * kept_t
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("w"), pa.array(np.bincount(row, weights=c, minlength=n).astype(np.int64)), pa.array(kept_c0), pa.array(kept_c0 - d[1] * kept_t0),
-                     batch.column("us"), pa.ListArray.from_arrays(batch.column("us").offsets, pa.array(values))],
-                    names=["w", "c", "c0", "r", "us", "vs"],
-                )
+                value = (c - d[0] * kept_t).astype(np.float32)
+                found |= {"word_sizes": np.bincount(_bin(held["count"][own]), minlength=501), "pair_sizes": np.bincount(_bin(value), minlength=501)}
+                _put(folder, f"model-{p}", {"r": kept_c0 - d[1] * kept_t0, "value": value})
+                asked = [sums(value), sums(c)]
             else:
-                total[:, 0] += np.bincount(v, weights=kept_t, minlength=len(tables))
-                total[root] += [kept_t0.sum(), kept_c0.sum()]
-        if not averaged:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tables), dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["u", "t", "c"])
+                asked = [sums(kept_t)]
+            _put(folder, f"{'averaged' if averaged else 'swept'}-{p}", found)
+            yield _ask(p, contexts, parts, asked)
 
     return tidy(run)
 
@@ -234,42 +392,79 @@ def _bin(x: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(np.maximum(x, 1)) * 8), 500).astype(np.int64)
 
 
-def _totals(contexts: int):
-    """Sums of the averaged model: per context of vs (kind 0), of c0 and r (kind 1); counts by size of words (2), pairs (3)."""
+def _least(sizes: np.ndarray, most: int) -> int:
+    """The least bin such that at most `most` entries are in it or above."""
+    above = np.cumsum(sizes[::-1])[::-1]
+    return int(np.argmax(np.append(above, 0) <= most))
+
+
+def _weights(discount: float, limit: int = 100_000):
+    """The answered sums of values and customers as inverse and weight of each context: to the parts that asked (kind 0), and once each (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, root, words, pairs = np.zeros(contexts + 1), np.zeros(2), np.zeros(501), np.zeros(501)
-        for batch in batches:
-            _, u, v = _flat(batch, "vs")
-            sums += np.bincount(u, weights=v, minlength=contexts + 1)
-            root += [batch.column("c0").to_numpy().sum(), batch.column("r").to_numpy().sum()]
-            words += np.bincount(_bin(batch.column("c").to_numpy()), minlength=501)
-            pairs += np.bincount(_bin(v[u > 0]), minlength=501)
-        kinds = [(k, i, float(x)) for k, xs in enumerate((sums, root, words, pairs)) for i, x in enumerate(xs) if x]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kinds], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64()))], names=["kind", "i", "x"])
+        for q, messages in _by_part(batches):
+            v, values, customers = _columns([m[2] for m in messages], [np.uint64, np.float64, np.float64])
+            contexts, at = np.unique(v, return_inverse=True)
+            customers = np.bincount(at, weights=customers)
+            tables = np.maximum(customers - np.bincount(at, weights=values), 0) / discount
+            inverse = 1 / (THETA + customers)
+            weight = (THETA + discount * tables) * inverse
+            for i in range(0, len(contexts), limit):
+                j = slice(i, i + limit)
+                yield _messages([(q, 1, i, b"".join(x[j].tobytes() for x in (contexts, customers, weight)))])
+            begin = 0
+            for _, p, raw in messages:
+                own = at[begin : begin + len(raw) // 24]
+                yield _messages([(p, 0, q, inverse[own].tobytes() + weight[own].tobytes())])
+                begin += len(own)
 
     return tidy(run)
 
 
-def _threshold(counts: dict[int, float], most: int) -> float:
-    """The least size such that at most `most` entries have it or more."""
-    total, least = 0.0, float("inf")
-    for i in sorted(counts, reverse=True):
-        total += counts[i]
-        if total > most:
-            break
-        least = 2 ** (i / 8) if i else 0.0
-    return least
+@tidy
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column("data").to_pylist():
+            v, customers, weight = _columns([raw], [np.uint64, np.float64, np.float64])
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(customers), pa.array(weight)], names=["v", "customers", "weight"])
+
+
+def _entries(folder: str, spread, words_least: int, pairs_least: int):
+    """Words (v null; of those in one part) and pairs of the model whose size is in the given bin or above."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column("p").to_pylist():
+                held, model = _get(folder, f"state-{p}"), _get(folder, f"model-{p}")
+                i = np.flatnonzero((_place(held["words"], spread.value) == 0) & (_bin(held["count"]) >= words_least))
+                j = np.flatnonzero(_bin(model["value"]) >= pairs_least)
+                w = np.repeat(held["words"], held["lengths"])[j]
+                none = pa.nulls(len(i), pa.int64())
+                names = ["w", "v", "c", "x"]
+                yield pa.RecordBatch.from_arrays([pa.array(held["words"][i].view(np.int64)), none, pa.array(held["count"][i]), pa.array(model["r"][i])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(held["v"][j].view(np.int64)), pa.array(held["c"][j]), pa.array(model["value"][j].astype(np.float64))], names=names)
+
+    return tidy(run)
 
-def _score(model):
-    """Per text a row with the sums over tokens whose numbers are at hand, and a row for each other token.
 
-    u of such a row is its context, or -1 - context if the word itself isn't at hand.
+def _score(model, parts: int):
+    """Per text its sums over tokens whose numbers are at hand (kind 2), and the other tokens to their parts (kind 1).
+
+    Of such a token there are the text's key, the word, the context, and whether the word's own numbers are missing too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        far, near, size = [], [], 0
+
+        def flush():
+            keys, lengths, tokens, before, unknown = (np.concatenate(x) for x in zip(*far))
+            order, p = _part(tokens, before, m["spread"], parts)
+            columns = [np.repeat(keys, lengths)[order], tokens[order], before[order], unknown[order]]
+            out = _messages([*((q, 1, 0, raw) for q, raw in _pack(p, columns)), *((int(_range(np.array([keys_]), parts)[0]), 2, 0, raw) for keys_, raw in near)])
+            far.clear(), near.clear()
+            return out
+
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for a, b, data, offsets in text_chunks(texts):
@@ -280,132 +475,204 @@ def _score(model):
                 keys = np.array(
                     [xxhash.xxh3_64_intdigest(raw[bounds[i] : bounds[i + 1]], seed=hash(ids[a + i].as_py()) & 0xFFFFFFFF) for i in range(n)], np.uint64
                 )
-                u = _place(before, m["contexts"])
-                word = _place(tokens, m["words"])
+                word = m["words"].place(tokens)
+                u = np.append(0, m["context_of"][word[:-1]])
+                u[begin[:-1]] = m["context_of"][-1]
                 pair = np.zeros(len(tokens), np.int64)
-                inside = np.flatnonzero(u)
-                pair[inside] = _place(pair_key(tokens[inside], u[inside]), m["pairs"])
-                here = (word > 0) & ((u == 0) | (pair > 0))
-                slot = np.maximum(word - 1, 0)
-                p0 = m["p0"][slot] if len(m["p0"]) else np.zeros(len(slot))
-                v = np.where(pair > 0, m["vs"][np.maximum(pair - 1, 0)] if len(m["vs"]) else 0.0, 0.0)
-                p = np.where(here, v * m["inverse"][u] + m["weight"][u] * p0, 1.0)
-                c = np.where(word > 0, m["c"][slot] if len(m["c"]) else 0, 0)
+                inside = np.flatnonzero((u > 0) & (word > 0))
+                pair[inside] = m["pairs"].place(pair_key(tokens[inside], before[inside]))
+                here = pair > 0
+                i, j, k = word[here] - 1, u[here] - 1, pair[here] - 1
+                p = np.ones(len(tokens))
+                p[here] = m["vs"][k] * m["inverse"][j] + m["weight"][j] * m["p0"][i]
+                base = np.zeros(len(tokens))
+                base[word > 0] = np.log10(m["c"][word[word > 0] - 1] + 0.1)
                 sums = lambda x: np.bincount(owner, weights=x, minlength=n)
-                local = pa.StructArray.from_arrays(
-                    [
-                        pa.array(ids.slice(a, n)),
-                        pa.array(np.diff(begin)),
-                        pa.array(sums(word > 0).astype(np.int64)),
-                        pa.array(sums(np.where(word > 0, np.log10(c + 0.1), 0.0))),
-                        pa.array(sums(np.log10(p))),
-                    ],
-                    names=["doc_id", "n", "known", "base", "score"],
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(keys.view(np.int64)), pa.array(np.zeros(n, np.int32)), local], names=["key", "w", "u", "local"])
+                own = ids.slice(a, n)
+                columns = [keys, own.fill_null(0).to_numpy(zero_copy_only=False), own.is_null().to_numpy(zero_copy_only=False), np.diff(begin), sums(word > 0), sums(base), sums(np.log10(p))]
+                near.append((keys[0], b"".join(c.astype(t).tobytes() for c, t in zip(columns, NEAR))))
                 rest = np.flatnonzero(~here)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[owner[rest]].view(np.int64)), pa.array(tokens[rest].view(np.int64)), pa.array(np.where(word[rest] > 0, u[rest], -1 - u[rest]).astype(np.int32)), pa.nulls(len(rest), local.type)],
-                    names=["key", "w", "u", "local"],
-                )
+                far.append((keys, np.bincount(owner[rest], minlength=n), tokens[rest], before[rest], word[rest] == 0))
+                size += len(tokens)
+                if size >= WINDOW_TOKENS:
+                    yield flush()
+                    size = 0
+        if near:
+            yield flush()
 
     return tidy(run)
 
 
-LOCAL = "struct<doc_id:bigint,n:bigint,known:bigint,base:double,score:double>"
+NEAR = [np.uint64, np.int64, bool, np.int64, np.float64, np.float64, np.float64]
+SUMS = "key long, local boolean, doc_id long, n long, known double, base double, score double, v long"
+
+
+def _sums(batch: dict, n: int) -> pa.RecordBatch:
+    names = [x.split()[0] for x in SUMS.split(", ")]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([batch.get(c) if isinstance(batch.get(c), pa.Array) else pa.array(batch[c], t) if c in batch else pa.nulls(n, t) for c, t in zip(names, types)], names=names)
+
+
+def _far(folder: str, model):
+    """Sums by text over the tokens sent to a part; a row with v for each token whose context's weight isn't known there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for p, messages in _by_part(batches):
+            of = {k: [x[2] for x in messages if x[0] == k] for k in range(3)}
+            del messages
+            for raw in of[2]:
+                keys, ids, null, n, known, base, score = _columns([raw], NEAR)
+                yield _sums({"key": keys.view(np.int64), "local": np.ones(len(keys), bool), "doc_id": pa.array(ids, mask=null), "n": n, "known": known, "base": base, "score": score}, len(keys))
+            if not of[1]:
+                continue
+            if of[0]:
+                inverse, weight = _columns(of[0], [np.float64, np.float64])
+                held, trained = _get(folder, f"state-{p}"), _get(folder, f"model-{p}")
+                words, contexts = held["words"], np.unique(held["v"])
+                pairs = mix64(pair_key(np.repeat(words, held["lengths"]), held["v"]))  # mixed: those of frequent words are a range
+                by = np.argsort(pairs)
+                pairs, values = pairs[by], trained["value"][by]
+                count, r = held["count"].astype(np.float64), trained["r"]
+            else:
+                words = contexts = pairs = np.empty(0, np.uint64)
+                inverse = weight = values = count = r = np.empty(0)
+            of[0] = held = trained = by = None
+            tables = [Table(x) for x in (words, contexts, pairs)]
+            while of[1]:
+                k = int(np.searchsorted(np.cumsum([len(x) for x in of[1]]), FAR_BYTES)) + 1
+                some, of[1] = of[1][:k], of[1][k:]
+                keys, w, v, unknown = _unpack(some, [np.uint64, np.uint64, np.uint64, bool])
+                word, u, pair = (table.place(x) for table, x in zip(tables, (w, v, mix64(pair_key(w, v)))))
+                many = _place(w, m["spread"])
+                c, root = np.zeros(len(w)), np.zeros(len(w))
+                c[word > 0], root[word > 0] = count[word[word > 0] - 1], r[word[word > 0] - 1]
+                c[many > 0], root[many > 0] = m["spread_c"][many[many > 0] - 1], m["spread_r"][many[many > 0] - 1]
+                p0 = root / m["root"] + m["base"]
+                x = p0.copy()
+                x[u > 0] *= weight[u[u > 0] - 1]
+                x[pair > 0] += values[pair[pair > 0] - 1] * inverse[u[pair > 0] - 1]
+                texts, owner = np.unique(keys, return_inverse=True)
+                sums = lambda x: np.bincount(owner, weights=x, minlength=len(texts))
+                out = {"known": sums(unknown & (c > 0)), "base": sums(np.where(unknown, np.log10(c + 0.1), 0.0)), "score": sums(np.log10(x))}
+                yield _sums({"key": texts.view(np.int64), "local": np.zeros(len(texts), bool), **out}, len(texts))
+                ask = np.flatnonzero(u == 0)
+                yield _sums({"key": keys[ask].view(np.int64), "local": np.zeros(len(ask), bool), "v": v[ask].view(np.int64)}, len(ask))
+
+    return tidy(run)
+
+
+def _forget(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of tables that are written and no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 class PitmanYorModel:
-    """A model trained on the texts of `train`: `rows` has one row a word, the rest is of bounded size."""
+    """A model trained on the texts of `train`: a state file and a message with context weights a part, the rest is of bounded size."""
 
-    def __init__(self, train: DataFrame, share: float = CONTEXT_SHARE):
-        sc = train.sparkSession.sparkContext
+    def __init__(self, train: DataFrame, share: float = SPREAD_SHARE):
+        self.spark = train.sparkSession
+        sc = self.spark.sparkContext
         texts = train.select("text")
-        seen = texts.mapInArrow(_contexts(share), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+        seen = texts.mapInArrow(_frequent(share), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
         total = seen.filter("h is null").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().n
         heads = seen.filter((F.col("h").isNotNull()) & (F.col("c") >= 0.9 * share * total)).select("h").collect()
-        self.contexts = np.sort(np.array([r.h for r in heads], np.int64).view(np.uint64))
-        n = len(self.contexts)
-        counts = texts.mapInArrow(_counts(sc.broadcast(self.contexts)), "w long, u int, c long, part long, frequent boolean")
-        packed = materialize(counts.repartition("part").mapInArrow(_pack, "w long, frequent boolean, us array<int>, cs array<long>"), "packed")
-        # rows of a frequent word come from several tasks; there are few such words and few contexts
-        merged = packed.filter("frequent").groupBy("w").agg(F.flatten(F.collect_list("us")).alias("us"), F.flatten(F.collect_list("cs")).alias("cs"))
-        words = packed.filter("not frequent").select("w", "us", "cs").unionByName(materialize(merged, "merged"))
-        first = words.mapInArrow(_dishes(n), "u int, a long, b long, n1 long, n2 long").groupBy("u").agg(*(F.sum(c).alias(c) for c in ("a", "b", "n1", "n2"))).collect()
-        dishes = np.zeros((n + 2, 4))
-        for r in first:
-            dishes[r.u] = [r.a, r.b, r.n1, r.n2]
-        self.customers = dishes[:-1, 1]
-        self.tokens, self.words = int(self.customers.sum()), int(dishes[-1, 0])
-        once, twice = dishes[1:-1, 2].sum(), dishes[1:-1, 3].sum()
+        self.spread = np.sort(np.array([r.h for r in heads], np.int64).view(np.uint64))
+        spread = sc.broadcast(self.spread)
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self.parts = parts = 4 + size // PART_BYTES
+        self.folder = folder = fresh_path(self.spark, "model")
+
+        asked = _dealt(texts.mapInArrow(_counts(parts, spread), MESSAGE), parts).mapInArrow(_merge(folder, parts, spread), MESSAGE)
+        tables = materialize(_dealt(asked, parts).mapInArrow(_answer(1), MESSAGE), "dishes")
+        del asked
+        _forget(self.spark)
+        found = _stats(folder, "counted", parts)
+        zero = np.zeros((2, len(self.spread)))
+        several = sum((f["several"] for f in found), zero)
+        root = sum((f["root"] for f in found), np.zeros(4)) + [len(self.spread), several[0].sum(), (several[0] == 1).sum(), (several[0] == 2).sum()]
+        dishes = sum((f["dishes"] for f in found), np.zeros(2))
+        self.tokens, self.words = sum(f["tokens"] for f in found), int(root[0])
         discount = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.1, 0.95))
-        self.discounts = (discount(once, twice), discount(dishes[-1, 2], dishes[-1, 3]))
-        tables = np.append(dishes[:-1, 0], dishes[-1, 0])
-        state = {"tables": tables, "customers": np.append(self.customers, dishes[-1, 1]), "discounts": self.discounts, "words": self.words}
-        sums = words.mapInArrow(_sweeps(sc.broadcast(state), (BURN_IN - 1, 1), False), "u int, t double, c double").groupBy("u").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-        for r in sums.collect():
-            state["tables"][r.u] = r.t
-            if r.u == n + 1:
-                state["customers"][r.u] = r.c
-        out = "w long, c long, c0 double, r double, us array<int>, vs array<float>"
-        self.rows = materialize(words.mapInArrow(_sweeps(sc.broadcast(state), (BURN_IN, SAMPLES), True), out), "model")
-        self._finish(n)
-
-    def _finish(self, n: int) -> None:
-        got = self.rows.mapInArrow(_totals(n), "kind int, i int, x double").groupBy("kind", "i").agg(F.sum("x").alias("x")).collect()
-        of = {k: {r.i: r.x for r in got if r.kind == k} for k in range(4)}
-        d1, d0 = self.discounts
-        values = np.array([of[0].get(u, 0.0) for u in range(n + 1)])
-        tables = np.maximum(self.customers - values, 0) / d1
-        self.inverse = 1 / (THETA + self.customers)
-        self.weight = (THETA + d1 * tables) * self.inverse
-        self.inverse[0], self.weight[0] = 0.0, 1.0
-        self.root = THETA + of[1].get(0, 0.0)
-        self.base = (self.root - of[1].get(1, 0.0)) / self.root / (self.words + 1)
-        self.word_least, self.pair_least = _threshold(of[2], TABLE_ROWS), _threshold(of[3], TABLE_ROWS)
+        self.discounts = (discount(*dishes), discount(root[2], root[3]))
+        self.spread_c = several[1]
+
+        state = {"spread": self.spread, "discounts": self.discounts, "words": self.words, "tables": root[0], "customers": root[1]}
+        own = {f["p"]: f["several"][0] for f in found}
+        first = state | {"several": several[0], "own": own}
+        asked = _dealt(tables, parts).mapInArrow(_sweeps(folder, parts, sc.broadcast(first), (BURN_IN - 1, 1), False), MESSAGE)
+        tables = materialize(_dealt(asked, parts).mapInArrow(_answer(1), MESSAGE), "tables")
+        found = _stats(folder, "swept", parts)
+        shared = sum((f["shared"] for f in found), np.zeros((3, len(self.spread))))
+        totals = sum((f["root"] for f in found), np.zeros(2)) + [(shared[1] / np.maximum(shared[2], 1)).sum(), shared[0].sum()]
+        second = state | {"tables": totals[0], "customers": totals[1], "several": shared[0], "own": {f["p"]: f["shared"][0] for f in found}}
+
+        asked = _dealt(tables, parts).mapInArrow(_sweeps(folder, parts, sc.broadcast(second), (BURN_IN, SAMPLES), True), MESSAGE)
+        self.answers = materialize(_dealt(asked, parts).mapInArrow(_weights(self.discounts[0]), MESSAGE), "weights")
+        self.weights = self.answers.filter("kind = 1").mapInArrow(_context_rows, "v long, customers double, weight double")
+        found = _stats(folder, "averaged", parts)
+        shared = sum((f["shared"] for f in found), np.zeros((3, len(self.spread))))
+        self.spread_r = shared[0] - self.discounts[1] * shared[1] / np.maximum(shared[2], 1)
+        totals = sum((f["root"] for f in found), np.zeros(2)) + [(shared[1] / np.maximum(shared[2], 1)).sum(), shared[0].sum()]
+        self.root = THETA + totals[1]
+        self.base = (THETA + self.discounts[1] * totals[0]) / self.root / (self.words + 1)
+        self.sizes = tuple(sum((f[k] for f in found), np.zeros(501)) for k in ("word_sizes", "pair_sizes"))
+        self.trained = [f["p"] for f in found]
+        del asked, tables, seen
+        _forget(self.spark)
+
+    def _rows(self, words_least: int, pairs_least: int) -> DataFrame:
+        parts = self.spark.createDataFrame([(p,) for p in self.trained], "p int").repartition(max(len(self.trained), 1))
+        spread = self.spark.sparkContext.broadcast(self.spread)
+        return parts.mapInArrow(_entries(self.folder, spread, words_least, pairs_least), "w long, v long, c long, x double")
 
     def at_hand(self) -> dict:
-        """The tables that scoring broadcasts: at most TABLE_ROWS words and pairs, and the contexts."""
-        few = self.rows.filter(F.floor(F.log2(F.col("c").cast("double")) * 8) >= np.floor(np.log2(max(self.word_least, 1)) * 8 + 1e-9)) if np.isfinite(self.word_least) else self.rows.limit(0)
-        words = few.select("w", "c", "r").toArrow()
-        pairs = self.rows.select("w", F.explode(F.arrays_zip("us", "vs")).alias("e")).select("w", "e.us", "e.vs").filter("us > 0")
-        pairs = (pairs.filter(F.col("vs") >= max(self.pair_least, 1e-9)) if np.isfinite(self.pair_least) else pairs.limit(0)).toArrow()
-        w = words.column("w").to_numpy().view(np.uint64)
-        order = np.argsort(w)
-        keys = pair_key(pairs.column("w").to_numpy().view(np.uint64), pairs.column("us").to_numpy())
+        """The tables that scoring broadcasts: at most TABLE_ROWS words, pairs and contexts each, and the spread words' numbers."""
+        got = self._rows(*(_least(s, TABLE_ROWS) for s in self.sizes)).toArrow()
+        is_word = got.column("v").is_null().to_numpy()
+        w, c, x = (got.column(k).to_numpy() for k in ("w", "c", "x"))
+        v = got.column("v").fill_null(0).to_numpy().view(np.uint64)
+        few = len(self.spread) <= TABLE_ROWS
+        words = np.concatenate([w[is_word].view(np.uint64), self.spread[: few * len(self.spread)]])
+        order = np.argsort(words)
+        keys = pair_key(w[~is_word].view(np.uint64), v[~is_word])
         by = np.argsort(keys)
+        size = F.least(F.floor(F.log2(F.greatest(F.col("customers"), F.lit(1.0))) * 8), F.lit(500))
+        sizes = np.zeros(501)
+        for r in self.weights.groupBy(size.alias("i")).count().collect():
+            sizes[r.i] = r["count"]
+        contexts = self.weights.filter(size >= _least(sizes, TABLE_ROWS)).toArrow()
+        h = contexts.column("v").to_numpy().view(np.uint64)
+        to = np.argsort(h)
+        # the context's place for each place of a word (the first: no word), and for the first token of a text
+        context_of = _place(np.concatenate([words[order], [BEGIN]]), h[to])
         return {
-            "contexts": self.contexts,
-            "words": w[order],
-            "c": words.column("c").to_numpy()[order],
-            "p0": words.column("r").to_numpy()[order] / self.root + self.base,
-            "pairs": keys[by],
-            "vs": pairs.column("vs").to_numpy()[by].astype(np.float64),
-            "inverse": self.inverse,
-            "weight": self.weight,
+            "context_of": np.append(0, context_of),
+            "inverse": 1 / (THETA + contexts.column("customers").to_numpy()[to]),
+            "weight": contexts.column("weight").to_numpy()[to],
+            "words": Table(words[order]),
+            "c": np.concatenate([c[is_word], self.spread_c[: few * len(self.spread)]])[order],
+            "p0": np.concatenate([x[is_word], self.spread_r[: few * len(self.spread)]])[order] / self.root + self.base,
+            "pairs": Table(keys[by]),
+            "vs": x[~is_word][by],
+            "spread": self.spread,
         }
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_tokens, n_known, base_score, score of each row of (doc_id, text)."""
-        spark = docs.sparkSession
-        held = spark.sparkContext.broadcast(self.at_hand())
-        rows = docs.mapInArrow(_score(held), f"key long, w long, u int, local {LOCAL}")
-        small = spark.createDataFrame([(u, float(i), float(w)) for u, (i, w) in enumerate(zip(self.inverse, self.weight))], "ctx int, inverse double, weight double")
-        rows = rows.withColumn("ctx", F.when(F.col("u") < 0, -1 - F.col("u")).otherwise(F.col("u"))).join(F.broadcast(small), "ctx")
-        rows = rows.join(self.rows.select("w", "c", "r", "us", "vs"), "w", "left")
-        seen = F.col("c").isNotNull()
-        place = F.when((F.col("ctx") > 0) & seen, F.array_position("us", F.col("ctx"))).otherwise(F.lit(0))
-        v = F.when(place > 0, F.get("vs", (place - 1).cast("int")).cast("double")).otherwise(F.lit(0.0))
-        p = v * F.col("inverse") + F.col("weight") * (F.coalesce("r", F.lit(0.0)) / self.root + self.base)
-        far, unknown = F.col("local").isNull(), F.col("u") < 0
+        sc = self.spark.sparkContext
+        sent = docs.mapInArrow(_score(sc.broadcast(self.at_hand()), self.parts), MESSAGE).unionByName(self.answers.filter("kind = 0"))
+        few = {"spread": self.spread, "spread_c": self.spread_c, "spread_r": self.spread_r, "root": self.root, "base": self.base}
+        rows = _dealt(sent, self.parts).mapInArrow(_far(self.folder, sc.broadcast(few)), SUMS)
+        # rows that need no weight are joined by their key, so that they spread
+        ask = F.col("v").isNotNull()
+        rows = rows.withColumn("ask", ask).withColumn("v", F.coalesce("v", "key")).join(self.weights.select("v", "weight"), "v", "left")
+        rows = rows.withColumn("score", F.when(F.col("ask"), F.log10(F.coalesce("weight", F.lit(1.0)))).otherwise(F.col("score")))
         sums = rows.groupBy("key").agg(
-            F.count("local").alias("copies"),
-            F.max("local.doc_id").alias("doc_id"),
-            F.max("local.n").alias("n_tokens"),
-            F.sum(F.when(far, F.when(unknown & seen, 1).otherwise(0)).otherwise(F.col("local.known"))).alias("known"),
-            F.sum(F.when(far, F.when(unknown, F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).otherwise(F.lit(0.0))).otherwise(F.col("local.base"))).alias("base"),
-            F.sum(F.when(far, F.log10(p)).otherwise(F.col("local.score"))).alias("score"),
-        )
+            F.count_if("local").alias("copies"), F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"),
+            F.sum("known").cast("long").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"),
+        )
         share = float(np.log10(self.tokens + 0.1 * (self.words + 1)))
         out = sums.select(
             "doc_id",
@@ -417,6 +684,37 @@ class PitmanYorModel:
         )
         return out.drop("copy")
 
+    # The whole model as arrays and rows, to look at small ones; scoring doesn't use them.
+
+    @property
+    def contexts(self) -> np.ndarray:
+        return np.sort(self.weights.select("v").toArrow().column("v").to_numpy().view(np.uint64))
+
+    def _by_context(self, column: Column, outside: float) -> np.ndarray:
+        got = self.weights.select("v", column.alias("x")).toArrow()
+        order = np.argsort(got.column("v").to_numpy().view(np.uint64))
+        return np.append(outside, got.column("x").to_numpy()[order])
+
+    @property
+    def inverse(self) -> np.ndarray:
+        return self._by_context(1 / (THETA + F.col("customers")), 0.0)
+
+    @property
+    def weight(self) -> np.ndarray:
+        return self._by_context(F.col("weight"), 1.0)
+
+    @property
+    def rows(self) -> DataFrame:
+        """w, r, us (places of contexts, from 1), vs."""
+        got, contexts = self._rows(0, 0).collect(), self.contexts
+        r = {x.w: x.x for x in got if x.v is None} | dict(zip(self.spread.view(np.int64).tolist(), self.spread_r.tolist()))
+        of = {w: ([], []) for w in r}
+        for x in got:
+            if x.v is not None:
+                of[x.w][0].append(int(_place(np.array([x.v]).view(np.uint64), contexts)[0]))
+                of[x.w][1].append(x.x)
+        return self.spark.createDataFrame([(w, r[w], *of[w]) for w in r], "w long, r double, us array<int>, vs array<double>")
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(10)) == 0, F.lit(True))

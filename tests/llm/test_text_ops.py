@@ -256,6 +256,15 @@ def _chance(model, context, token):
     return v * model.inverse[u] + model.weight[u] * (r / model.root + model.base)
 
 
+def test_every_context_has_a_restaurant(spark):
+    """Contexts far below a thousandth of the tokens are told apart, as are their next words."""
+    texts = [" ".join(f"x{i * 40 + j} y{i * 40 + j}" for j in range(40)) for i in range(100)]
+    model = lm_scoring.PitmanYorModel(docs(spark, list(enumerate(texts))).select("text"))
+    assert len(model.contexts) == 8001 and model.tokens == 8100
+    got = {r.doc_id: r.score for r in model.score(docs(spark, [(0, "x777 y777"), (1, "x777 y778"), (2, "y777 y777")]).select("doc_id", "text")).collect()}
+    assert got[0] > got[1] + 1 and got[0] > got[2] + 1
+
+
 def test_seating_keeps_bounds():
     c = np.array([1, 2, 5, 1000, 0], float)
     t = lm_scoring.seat(c, np.full(5, 0.1), np.full(5, 10.0), 0.7, np.random.default_rng(0))
