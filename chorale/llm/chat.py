@@ -5,10 +5,12 @@ outputs locates the span of each turn; where an output isn't a prefix of the nex
 is recorded with the turn. Where in its span the text of a turn lies is found the same way: two renderings of the turn
 with different one-letter texts differ in the text only, so what they share on either side is the template's own.
 
-The first FULL turns of a conversation are rendered with all turns before them. Later turns are rendered with the last
-LOOKBACK turns before them, provided that for the turns so far this gave the same spans; otherwise all turns are used.
-So long conversations cost time in proportion to their length. Conversations arrive sorted and are worked on turn by
-turn: memory holds the turns of a conversation only if its template needs them all.
+A template whose attribute `local` is true says that it renders a turn from the last LOOKBACK turns before it and never
+rewrites; TEMPLATE does. After the first FULL turns, which are checked, its turns are rendered with the last LOOKBACK turns
+only, so long conversations cost time in proportion to their length and memory doesn't hold their turns; should it rewrite
+all the same, that is an error. Any other template is rendered with all turns before each turn, however long the
+conversation, and the conversation is one segment, since a later turn may still change all of it. Conversations arrive
+sorted and are worked on turn by turn.
 
 The template of the query, `TEMPLATE`, marks turns with bracketed control strings and escapes these inside texts with a
 backslash, which is undone on reading.
@@ -64,6 +66,8 @@ def TEMPLATE(turns: list[Turn]) -> str:
     return "".join(out)
 
 
+TEMPLATE.local = True
+
 _TURN = re.compile(
     r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<s><<SYS>>(?P<system>.*?)<</SYS>>|<s>\[ROLE\](?P<role>.*?)\[/ROLE\](?P<other>.*?)</s>| (?P<assistant>.*?) </s>", re.S
 )
@@ -103,14 +107,14 @@ class Formatter:
     """Renders a conversation turn by turn.
 
     add() returns (new text, start of the turn's own text in it, its end, whether history was rewritten); when history was
-    rewritten the new text is the whole output so far.
+    rewritten the new text is the whole output so far. local: whether the caller knows the template to be local.
     """
 
-    def __init__(self, template: Template, full: int = FULL, lookback: int = LOOKBACK):
+    def __init__(self, template: Template, full: int = FULL, lookback: int = LOOKBACK, local: bool = True):
         self.template, self.full, self.lookback = template, full, lookback
         self.turns: list[Turn] = []
         self.output = ""
-        self.local, self.n = True, 0
+        self.local, self.n = local, 0
         self.affixes: dict[tuple, tuple[int, int]] = {}
 
     def _delta(self, context: list[Turn], before: str, turn: Turn) -> tuple[str, bool]:
@@ -120,7 +124,7 @@ class Formatter:
     def _affix(self, context: list[Turn], role: str) -> tuple[int, int]:
         """Characters of the template before and after the text of a turn with this role."""
         key = (len(self.turns) < self.full and len(context), tuple(r for r, _ in context[-self.lookback :]), role)
-        if key not in self.affixes:
+        if not self.local or key not in self.affixes:
             near = context[-self.lookback :] if self.local else context
             x, y = (self.template([*near, (role, t)]) for t in "xy")
             begin = shared_prefix(x, y)
@@ -133,6 +137,8 @@ class Formatter:
         near = self.turns[-self.lookback :]
         if self.local and self.n >= self.full:
             delta, rewrote = self._delta(near, self.template(near), turn)
+            if rewrote:
+                raise ValueError("a template that is said to be local rewrote history")
         else:
             delta, rewrote = self._delta(self.turns, self.output, turn)
             if self.local and (rewrote or self._delta(near, self.template(near) if near else "", turn) != (delta, False)):
@@ -153,6 +159,7 @@ def _format(template: Template):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         state: dict = {}
+        local = getattr(template, "local", False)
 
         def close():
             if state and state["n"]:
@@ -169,8 +176,8 @@ def _format(template: Template):
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
                 if not state or state["id"] != conv:
                     close()
-                    state = {"id": conv, "segment": 0, "text": [], "n": 0, "at": 0, "loss": [], "rewrites": 0, "f": Formatter(template)}
-                elif state["n"] >= SEGMENT_TURNS and not state["rewrites"]:
+                    state = {"id": conv, "segment": 0, "text": [], "n": 0, "at": 0, "loss": [], "rewrites": 0, "f": Formatter(template, local=local)}
+                elif state["n"] >= SEGMENT_TURNS and state["f"].local:
                     close()
                     state |= {"segment": state["segment"] + 1, "text": [], "n": 0, "at": 0, "loss": []}
                 delta, a, b, rewrote = state["f"].add(role or "", text or "")
@@ -191,7 +198,7 @@ def _format(template: Template):
 
 
 def format_conversations(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """Segments of at most SEGMENT_TURNS whole turns: conv_id, segment, text, n_turns, loss (spans), rewrites.
+    """Segments of at most SEGMENT_TURNS whole turns, or of a whole conversation if the template isn't local: conv_id, segment, text, n_turns, loss (spans), rewrites.
 
     Segments of a conversation stand together and in order. The spans of a template that rewrites history
     (rewrites > 0) hold for the turns since the last rewriting.

@@ -83,6 +83,17 @@ def test_template_that_rewrites_history_is_detected(spark):
     assert rows[0].rewrites == 1 and rows[0].text == "<user>a</><assistant>-</><user>c</>"
 
 
+@pytest.mark.parametrize("at", [60, 300])
+def test_templates_that_act_late_are_rendered_whole(spark, at):
+    # a system turn is moved to the front; only the last 60 turns are kept
+    hoisted = lambda turns: "".join(f"<{r}>{t}</>" for r, t in sorted(turns, key=lambda x: x[0] != "system"))
+    window = lambda turns: "".join(f"<{r}>{t}</>" for r, t in turns[-60:])
+    talk = [("system" if i == at else "user", f"t{i}") for i in range(at + 20)]
+    for template in (hoisted, window):
+        rows = chat.format_conversations(turns(spark, [(1, i, r, t) for i, (r, t) in enumerate(talk)]), template).collect()
+        assert [r.text for r in rows] == [template(talk)] and rows[0].n_turns == len(talk) and rows[0].rewrites > 0
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------------------
 
 PAGE = "page_id long, url string, html string"
