@@ -102,37 +102,78 @@ def outcome_range(estimates: DataFrame, keys: list[str] = SET, bins: int = 5) ->
     return spread.join(entropy, by)
 
 
-def trajectory_clusters(estimates: DataFrame, ks: range = range(2, 6), starts: int = 10):
-    """(k, silhouette) of the best clustering of scenarios by their estimates, by Euclidean silhouette; ties take the first k.
+def trajectory_clusters(estimates: DataFrame, ks: range = range(2, 6), starts: int = 10, keys: list[str] | None = None, block: int = 2048) -> DataFrame:
+    """Per set: k and silhouette of the best clustering of scenarios by their estimates, and how many scenarios; ties take the first k.
 
-    Columns are standardised (a constant one by 1), missing values take the column's mean. KMeans runs `starts` times for
-    each k. The silhouette compares all pairs of scenarios of one set, which is what it is; sets hold tens of scenarios.
+    keys: by default the columns of SET that the estimates have. Within a set columns are standardised (a constant one by
+    1), missing values take the column's mean. KMeans runs `starts` times for each k. The silhouette is Euclidean and
+    compares all pairs of scenarios of a set, in blocks. A set without a clustering has null for both. Runs when called.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    keys = [c for c in SET if c in estimates.columns] if keys is None else keys
     spark = estimates.sparkSession
-    w = W.partitionBy("phase", "target")
+    w = W.partitionBy(*keys, "phase", "target")
     sd = F.stddev_pop("estimate").over(w)
     z = estimates.withColumn("z", (F.col("estimate") - F.avg("estimate").over(w)) / F.when(sd > 0, sd).otherwise(1.0))
-    names = z.select("phase", "target").distinct()
-    grid = z.select("scenario_uid").distinct().crossJoin(F.broadcast(names)).join(z.select("scenario_uid", "phase", "target", "z"), ["scenario_uid", "phase", "target"], "left")
-    vectors = grid.groupBy("scenario_uid").agg(F.sort_array(F.collect_list(F.struct("phase", "target", F.coalesce("z", F.lit(0.0)).alias("z")))).alias("v"))
-    vectors = vectors.select("scenario_uid", F.transform("v", lambda x: x["z"]).alias("x")).withColumn("features", array_to_vector("x")).cache()
-    n = vectors.count()
-    found = []
-    for k in ks:
-        if k >= n:
-            continue
-        models = [KMeans(k=k, seed=s, featuresCol="features").fit(vectors) for s in range(starts)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        rows = best.transform(vectors).select("scenario_uid", "x", F.col("prediction").alias("c"))
-        a, b = rows.select(*(F.col(c).alias(f"{c}_a") for c in rows.columns)), rows.select(*(F.col(c).alias(f"{c}_b") for c in rows.columns))
-        apart = F.sqrt(F.aggregate(F.zip_with("x_a", "x_b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-        near = a.join(b, F.col("scenario_uid_a") != F.col("scenario_uid_b")).groupBy("scenario_uid_a", "c_a", "c_b").agg(F.avg(apart).alias("d"))
-        per = near.groupBy("scenario_uid_a").agg(F.min(F.when(F.col("c_a") == F.col("c_b"), F.col("d"))).alias("i"), F.min(F.when(F.col("c_a") != F.col("c_b"), F.col("d"))).alias("o"))
-        s = F.when(F.col("i").isNull(), F.lit(0.0)).otherwise((F.col("o") - F.col("i")) / F.greatest("i", "o"))
-        found.append((k, per.agg(F.avg(s)).first()[0]))
+    names = z.select(*keys, "phase", "target").distinct()
+    people = z.select(*keys, "scenario_uid").distinct()
+    grid = people.join(names, keys) if keys else people.crossJoin(F.broadcast(names))
+    grid = grid.join(z.select(*keys, "scenario_uid", "phase", "target", "z"), [*keys, "scenario_uid", "phase", "target"], "left")
+    vectors = grid.groupBy(*keys, "scenario_uid").agg(F.sort_array(F.collect_list(F.struct("phase", "target", F.coalesce("z", F.lit(0.0)).alias("z")))).alias("v"))
+    vectors = vectors.select(*keys, "scenario_uid", F.transform("v", lambda x: x["z"]).alias("x")).withColumn("features", array_to_vector("x")).cache()
+    out = []
+    for row in vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect():
+        own, found = vectors, []
+        for c in keys:
+            own = own.filter(F.col(c).eqNullSafe(F.lit(row[c])))
+        for k in ks:
+            if k >= row.n:
+                continue
+            models = [KMeans(k=k, seed=s, featuresCol="features").fit(own) for s in range(starts)]
+            best = min(models, key=lambda m: m.summary.trainingCost)
+            score = _silhouette(best.transform(own).select("scenario_uid", "x", F.col("prediction").cast("int").alias("c")), row.n, block)
+            if score is not None:
+                found.append((k, float(score)))
+        best = max(found, key=lambda f: (f[1], -f[0]), default=(None, None))
+        if keys or best[0] is not None:
+            out.append((*(row[c] for c in keys), *best, row.n))
     vectors.unpersist()
-    best = max(found, key=lambda f: (f[1], -f[0]), default=None)
-    return spark.createDataFrame([(best[0], float(best[1]), n)] if best else [], "best_k int, silhouette double, n_scenarios long")
+    types = dict(estimates.dtypes)
+    return spark.createDataFrame(out, ", ".join([*(f"`{c}` {types[c]}" for c in keys), "best_k int, silhouette double, n_scenarios long"]))
+
+
+def _silhouette(rows: DataFrame, n: int, block: int) -> float | None:
+    """Mean Euclidean silhouette of (scenario_uid, x, c), null for one cluster. Each task compares two blocks of rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    sizes = {r.c: r["count"] for r in rows.groupBy("c").count().collect()}
+    if len(sizes) < 2:
+        return None
+    k = max(sizes) + 1
+    blocks = rows.groupBy(F.pmod(F.xxhash64("scenario_uid"), F.lit(-(-n // block))).alias("b")).agg(F.sort_array(F.collect_list(F.struct("scenario_uid", "x", "c"))).alias("r"))
+    blocks = blocks.select("b", F.transform("r", lambda r: r["x"]).alias("x"), F.transform("r", lambda r: r["c"]).alias("c"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b, x, c, x2, c2 = (batch.column(j)[i].as_py() for j in ("b", "x", "c", "x2", "c2"))
+                x, x2, c2 = np.array(x), np.array(x2), np.array(c2)
+                apart = np.zeros((len(x), k))
+                for at in range(0, len(x), 256):
+                    d = np.sqrt(((x[at : at + 256, None, :] - x2[None]) ** 2).sum(2))
+                    apart[at : at + 256] = np.stack([d[:, c2 == j].sum(1) for j in range(k)], 1)
+                columns = [pa.array(np.full(len(x), b)), pa.array(np.arange(len(x))), pa.array(np.array(c, np.int32)), pa.array(apart.tolist(), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["b", "i", "c", "d"])
+
+    pairs = blocks.crossJoin(blocks.select(F.col("x").alias("x2"), F.col("c").alias("c2"))).repartition(max(rows.sparkSession.sparkContext.defaultParallelism, 1))
+    parts = pairs.mapInArrow(run, "b long, i long, c int, d array<double>")
+    total = parts.groupBy("b", "i", "c").agg(*(F.sum(F.get("d", F.lit(j))).alias(f"d{j}") for j in range(k)))
+    inner = F.coalesce(*(F.when((F.col("c") == j) & F.lit(sizes[j] > 1), F.col(f"d{j}") / max(sizes[j] - 1, 1)) for j in sizes))
+    means = [F.when(F.col("c") != j, F.col(f"d{j}") / sizes[j]) for j in sizes]
+    outer = F.array_min(F.array_compact(F.array(*means)))
+    top = F.greatest(inner, outer)
+    s = F.when(inner.isNull() | (top == 0), F.lit(0.0)).otherwise((outer - inner) / top)
+    return total.agg(F.avg(s)).first()[0]

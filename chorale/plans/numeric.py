@@ -149,7 +149,7 @@ def outcome_range(spark, sf_dir):
 @query("div_trajectory_cluster")
 def trajectory_cluster(spark, sf_dir):
     """K-means starts differ between engines, so there is no SQL."""
-    return diversity.trajectory_clusters(event_estimates(spark, sf_dir).filter("model_id = '0'"))
+    return diversity.trajectory_clusters(event_estimates(spark, sf_dir))
 
 
 # --- open-keyed predictions ------------------------------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """Whole evaluations: from scenario files to tables, and from those to the metrics of each set.
 
-Every function returns DataFrames by name; nothing runs before they are written or shown.
+Every function returns DataFrames by name; nothing but the clustering of trajectories runs before they are written or shown.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def cross_checks(docs: DataFrame) -> DataFrame:
 
 
 def numeric(docs: DataFrame, utterances: DataFrame, truth: DataFrame) -> dict[str, DataFrame]:
-    """anchoring, anchoring_cells, convergence, responsiveness, coherence, forecast, group_variance, outcome_range, distinct_1, distinct_2, self_bleu."""
+    """anchoring, anchoring_cells, convergence, responsiveness, coherence, forecast, group_variance, outcome_range, trajectory_clusters, distinct_1, distinct_2, self_bleu."""
     values = cells.predictions(utterances.withColumnRenamed("persona_name", "persona")).drop("prediction_values")
     sets = docs.select(*SET, "scenario_uid")
     strict = cells.strict_cells(values).join(sets, "scenario_uid")
@@ -73,6 +73,7 @@ def numeric(docs: DataFrame, utterances: DataFrame, truth: DataFrame) -> dict[st
         "forecast": macro.forecast(estimates, truth),
         "group_variance": diversity.group_variance(lenient),
         "outcome_range": diversity.outcome_range(late),
+        "trajectory_clusters": diversity.trajectory_clusters(estimates.join(keys, [*SET, "phase", "target"], "left_semi")),
         "distinct_1": diversity.distinct_n(texts, 1),
         "distinct_2": diversity.distinct_n(texts, 2),
         "self_bleu": diversity.self_bleu(texts),

@@ -229,3 +229,22 @@ def test_trajectory_clusters_find_two_groups(spark):
     rows = [(f"s{i}", "P", t, (0.0 if i < 4 else 10.0) + 0.1 * i) for i in range(8) for t in ("x", "y")]
     got = diversity.trajectory_clusters(spark.createDataFrame(rows, "scenario_uid string, phase string, target string, estimate double"), range(2, 4), 2).first()
     assert got.best_k == 2 and got.silhouette > 0.8
+
+
+def test_trajectory_clusters_of_each_set_against_brute_force(spark):
+    rows = [("P", m, f"s{i}", "Outcomes", t, (0.0 if i < 5 + n else 9.0 + n) + 0.3 * (i * i % 7)) for n, m in enumerate(("0", "1")) for i in range(12) for t in ("x", "y")]
+    rows += [("P", "2", "s0", "Outcomes", "x", 1.0)]
+    table = spark.createDataFrame(rows, "policy_id string, model_id string, scenario_uid string, phase string, target string, estimate double")
+    got = {r.model_id: r for r in diversity.trajectory_clusters(table, range(2, 3), 2, block=5).collect()}
+    assert {m: r.n_scenarios for m, r in got.items()} == {"0": 12, "1": 12, "2": 1} and got["2"].best_k is None
+    for n, m in enumerate(("0", "1")):
+        xs = [r[5] for r in rows if r[1] == m and r[4] == "x"]
+        mean = sum(xs) / 12
+        sd = (sum((x - mean) ** 2 for x in xs) / 12) ** 0.5
+        apart = lambda i, j: abs(xs[i] - xs[j]) / sd * 2**0.5
+        scores = []
+        for i in range(12):
+            of = {c: [apart(i, j) for j in range(12) if j != i and (j < 5 + n) == c] for c in (True, False)}
+            a, b = (sum(of[c]) / len(of[c]) for c in (i < 5 + n, i >= 5 + n))
+            scores.append((b - a) / max(a, b))
+        assert got[m].best_k == 2 and abs(got[m].silhouette - sum(scores) / 12) < 1e-9

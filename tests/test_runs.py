@@ -83,6 +83,11 @@ def test_numeric(spark, parsed):
     assert len(rows["outcome_range"]) == 2 and rows["distinct_1"][0].n_total > 0 and rows["group_variance"][0].n_cells == 15
 
 
+def test_numeric_clusters_each_set(spark, parsed):
+    got = runs.numeric(parsed["scenarios"], parsed["utterances"], files.ground_truth(spark, files.parse_config(CONFIG)))
+    assert [r.n_scenarios for r in got["trajectory_clusters"].filter("model_id = 'm1'").collect()] == [3]
+
+
 def test_micro_and_pools(spark, parsed):
     nodes = spark.createDataFrame([("A", 0, "Student:Student", "Student", "Students submit evaluation reports every year", None, None)], "policy_id string, ord int, id string, type string, summary string, attributes struct<decision_authority:string>, source_spans array<struct<text:string>>")
     edges = spark.createDataFrame(
