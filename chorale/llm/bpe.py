@@ -4,7 +4,9 @@ Encoding gives the ids that the tokenizers library gives for a byte-level BPE fi
 strings of added tokens in a text become their ids, the rest is split by the usual pattern, and each distinct piece is
 merged once. The symbols of many pieces lie in one flat array. A round looks up every neighbouring pair by binary search
 among the sorted pair keys, takes the lowest rank of each piece with one segmented minimum, and merges that pair wherever
-it stands in the piece, from left to right without overlap. Pieces without a pair left leave the array.
+it stands in the piece, from left to right without overlap. Pieces without a pair left leave the array. A piece of more than
+LONG_PIECE bytes is worked on by itself: its rounds go by rank and look only at the pairs beside the merges before, so that
+time grows little more than its length.
 
 A process keeps a dictionary of pieces, cleared when it exceeds CACHE_PIECES; that changes speed only.
 
@@ -14,6 +16,7 @@ after decoding become U+FFFD, as in the library. Repeated rows give repeated row
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -30,6 +33,7 @@ from chorale.llm.common import process_cache, read_table, tidy
 #: The pattern of byte-level BPE (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_PIECES = 200_000
+LONG_PIECE = 512
 NONE = np.int64(2**62)
 
 
@@ -70,8 +74,64 @@ class ByteBPE:
         self.split = re.compile("(" + "|".join(re.escape(a) for a in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.known: dict[str, bytes] = {}
 
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair (NONE: no pair) and its place among the keys."""
+        keys = (left << 32) | right
+        slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[slot] == keys, self.ranks[slot], NONE), slot
+
+    def merge_long(self, piece: bytes) -> bytes:
+        """The ids of one piece, as of `merge`."""
+        symbols = np.append(self.byte_ids[np.frombuffer(piece, np.uint8)], 0)
+        n = len(piece)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank, slot = np.full(n + 1, NONE), np.zeros(n + 1, np.int64)
+        at: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+        fresh = np.arange(n - 1)
+        while True:
+            if len(fresh):
+                rank[fresh], slot[fresh] = self._look_up(symbols[fresh], symbols[after[fresh]])
+                fresh = fresh[rank[fresh] < NONE]
+                fresh = fresh[np.argsort(rank[fresh], kind="stable")]
+                edges = np.flatnonzero(np.diff(rank[fresh], prepend=-1)).tolist()
+                for a, b in zip(edges, [*edges[1:], len(fresh)]):
+                    r = int(rank[fresh[a]])
+                    if r not in at:
+                        at[r] = []
+                        heapq.heappush(ranks, r)
+                    at[r].append(fresh[a:b])
+            if not ranks:
+                break
+            r = heapq.heappop(ranks)
+            places = np.concatenate(at.pop(r))
+            places = np.unique(places[rank[places] == r])
+            if len(places) > 1 and (chained := after[places[:-1]] == places[1:]).any():
+                # of overlapping places every second one merges
+                index = np.arange(len(places))
+                start = np.maximum.accumulate(np.where(np.append(True, ~chained), index, 0))
+                places = places[(index - start) % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.merged[slot[places]]
+            after[places], rank[gone] = after[gone], NONE
+            before[after[places]] = places
+            fresh = np.unique(np.concatenate([places, before[places]]))
+            fresh = fresh[fresh >= 0]
+            rank[fresh] = NONE
+            fresh = fresh[after[fresh] < n]
+        keep = np.zeros(n, bool)
+        place = 0
+        steps = after.tolist()
+        while place < n:
+            keep[place] = True
+            place = steps[place]
+        return symbols[:n][keep].astype("<u4").tobytes()
+
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Per piece its ids as little-endian unsigned 32-bit integers."""
+        if any(len(p) > LONG_PIECE for p in pieces):
+            short = iter(self.merge([p for p in pieces if len(p) <= LONG_PIECE]))
+            return [next(short) if len(p) <= LONG_PIECE else self.merge_long(p) for p in pieces]
         if not pieces:
             return []
         count = np.array([len(p) for p in pieces], np.int64)
@@ -79,9 +139,8 @@ class ByteBPE:
         owner = np.repeat(np.arange(len(pieces)), count)
         done_symbols, done_owner = [], []
         while len(symbols):
-            keys = (symbols[:-1] << 32) | symbols[1:]
-            slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            rank = np.where((self.keys[slot] == keys) & (owner[:-1] == owner[1:]), self.ranks[slot], NONE)
+            rank, slot = self._look_up(symbols[:-1], symbols[1:])
+            rank = np.where(owner[:-1] == owner[1:], rank, NONE)
             rank, slot = np.append(rank, NONE), np.append(slot, 0)
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             runs = np.diff(np.append(first, len(owner)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import sys
 import tempfile
 import types
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import chorale
@@ -50,12 +51,22 @@ def process_cache() -> dict:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share, as a qualified path: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder of its own; on a cluster executors could not read what
+    others wrote there, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "chorale-shared")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = fs.makeQualified(hadoop_path).toString().rstrip("/")
+    # Hadoop writes file:/x where pyarrow wants file:///x
+    return re.sub(r"^file:/(?!/)", "file:///", path)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -76,16 +87,57 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Ids that a join may broadcast, after they were counted: at 8 bytes each some 16 MB on an executor.
+#: Rows of ids or row keys that a join may broadcast, after they were counted: at 16 bytes each some 32 MB on an executor.
 BROADCAST_IDS = 1 << 20
 
 
 def counted(ids: DataFrame, name: str, limit: int = BROADCAST_IDS) -> DataFrame:
-    """A written table of ids (one long column) that joins broadcast if it has at most `limit` rows, and shuffle beyond."""
+    """A written table of ids or row keys (long columns) that joins broadcast if it has at most `limit` rows, and shuffle beyond."""
     ids = materialize(ids, name)
     return F.broadcast(ids) if ids.count() <= limit else ids
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit key of a text (null: empty), which tells the texts of rows that share an id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df has them."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, single: DataFrame | None = None) -> DataFrame:
+    """The rows of `docs` whose (doc_id, text_key) isn't in `gone`, with their columns as they came.
+
+    Of rows that share a (doc_id, text_key) of `single` one stays, any one: their other columns don't count. Ids are
+    compared null-safe. Both tables are distinct row keys; texts move for the repeated rows only.
+    """
+    i, k = fresh_names(docs, "row_id", "row_key")
+    gi, gk = fresh_names(docs, "gone_id", "gone_key")
+    keyed = docs.withColumns({i: F.col("doc_id").cast("long"), k: text_key(F.col("text"))})
+    same = F.col(i).eqNullSafe(F.col(gi)) & (F.col(k) == F.col(gk))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+
+    def keys(rows: DataFrame, name: str) -> DataFrame:
+        return counted(rows.select(F.col("doc_id").alias(gi), F.col("text_key").alias(gk)), name)
+
+    if single is not None:
+        single = keys(single, "single")
+        if single.isEmpty():
+            single = None
+    if single is None:
+        return keyed.join(keys(gone, "gone"), same, "left_anti").select(*own)
+    rows = keyed.join(keys(gone, "gone"), same, "left_anti")
+    once = rows.join(single, same, "left_semi").dropDuplicates([i, k])
+    return rows.join(single, same, "left_anti").unionByName(once).select(*own)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

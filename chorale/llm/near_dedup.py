@@ -14,8 +14,9 @@ prefix-filtered join with bounds on size and place (`_prefix_pairs`), which ever
 dropped on the way.
 
 Cases: a null or empty text has an empty set, is kept and is linked with nothing. With fewer than five words the whole
-sequence is the only shingle. Rows that repeat a doc_id are one vertex with the links of all their texts. Other columns
-are not read.
+sequence is the only shingle. Rows that repeat a doc_id are judged each by its text: a vertex is a class of equal sets, not
+an id. A component of rows without id has no component_id, and its rows count as kept; `drop_near_copies` keeps one row of
+every component, whether its id is null or repeated. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ from chorale.llm.common import (
     LOWER,
     SPACE_WORDS,
     counted,
+    drop_rows,
     materialize,
     mix64,
     read_table,
     scan_words,
     sequence_hash,
     text_chunks,
+    text_key,
     tidy,
     word_hashes,
 )
@@ -87,8 +90,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             los.append((h & (2**64 - 1)) - 2**63)
             sigs.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(sigs, pa.binary())],
-            names=["doc_id", "n_shingles", "hi", "lo", "sig"],
+            [*(batch.column(c) for c in ("doc_id", "text_key")), *(pa.array(x, pa.int64()) for x in (ns, his, los)), pa.array(sigs, pa.binary())],
+            names=["doc_id", "text_key", "n_shingles", "hi", "lo", "sig"],
         )
 
 
@@ -144,13 +147,21 @@ class NearDuplicates:
     """One run over (doc_id, text). `members` maps every row to its representative, `components` those to components."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        rows = self.texts.mapInArrow(_signatures, "doc_id long, n_shingles long, hi long, lo long, sig binary")
-        self.rows = materialize(rows, "signatures")
+        text = F.col(text_col)
+        self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
+        schema = "doc_id long, text_key long, n_shingles long, hi long, lo long, sig binary"
+        self.rows = materialize(self.texts.mapInArrow(_signatures, schema), "signatures")
         classes = self.rows.filter("n_shingles > 0").groupBy("hi", "lo")
-        self.reps = materialize(
-            classes.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes"
-        )
+        # any one row of a class stands for its set
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("f")
+        reps = materialize(classes.agg(first, F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
+        reps = reps.select("hi", "lo", "n", "sig", "f.doc_id", "f.text_key")
+        # a class is called by its smallest doc_id; where that is null or stands for several classes, by a negative hash
+        several = counted(reps.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("several")), "several")
+        named = reps.join(several, F.col("doc_id").eqNullSafe(F.col("several")), "left_semi")
+        named = named.withColumn("id", -1 - F.shiftrightunsigned(F.xxhash64("hi", "lo"), 1))
+        plain = reps.join(several, F.col("doc_id").eqNullSafe(F.col("several")), "left_anti").withColumn("id", F.col("doc_id"))
+        self.reps = materialize(plain.unionByName(named), "representatives")
 
     def _buckets(self) -> DataFrame:
         """(key, id, size, lead) of every key that several representatives share. Sets below three link with equals only."""
@@ -167,9 +178,10 @@ class NearDuplicates:
         return self._confirmed_on_sets(materialize(near.mapInArrow(_near_signatures, "a long, b long"), "near"))
 
     def _shingles_of(self, ids: DataFrame) -> DataFrame:
-        wanted = counted(ids.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-        texts = self.texts.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-        return texts.mapInArrow(_sets, "id long, shingles array<long>")
+        wanted = self.reps.join(ids.select("id").distinct(), "id").select("id", F.col("doc_id").alias("wanted_id"), F.col("text_key").alias("wanted_key"))
+        wanted = counted(wanted, "wanted")
+        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_key") == F.col("wanted_key")))
+        return texts.select("id", "text").mapInArrow(_sets, "id long, shingles array<long>")
 
     def _confirmed_on_sets(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
@@ -232,12 +244,19 @@ class NearDuplicates:
         links = links.union(self._confirmed_on_sets(materialize(self._prefix_pairs(rest, comps), "pairs")))
         return links, connected_components(links)
 
+    def components(self) -> DataFrame:
+        """doc_id, text_key, n_shingles, label of every row; rows share a label if they are connected, null for empty sets."""
+        _, comps = self.links()
+        reps = self.reps.select("hi", "lo", "id").join(comps, "id", "left").select("hi", "lo", F.coalesce("comp", "id").alias("label"))
+        rows = self.rows.select("doc_id", "text_key", "n_shingles", "hi", "lo").join(materialize(reps, "components"), ["hi", "lo"], "left")
+        return materialize(rows.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).alias("label")), "labelled")
+
     def result(self) -> DataFrame:
         """One row per input row: doc_id, n_shingles, component_id, kept."""
-        _, comps = self.links()
-        reps = self.reps.select("hi", "lo", "id").join(comps, "id", "left").select("hi", "lo", F.coalesce("comp", "id").alias("component"))
-        out = self.rows.select("doc_id", "n_shingles", "hi", "lo").join(materialize(reps, "components"), ["hi", "lo"], "left")
-        component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+        rows = self.components()
+        least = materialize(rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
+        out = rows.join(least, "label", "left")
+        component = F.when(F.col("label").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
         return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -246,9 +265,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, one of each component, with their columns as they came."""
-    gone = near_dedup(docs).filter("not kept").select(F.col("doc_id").alias("__chorale_id"))
-    return docs.join(counted(gone, "gone"), F.col("doc_id") == F.col("__chorale_id"), "left_anti")
+    """The rows of `docs` with an empty set and one row of each component, that with the smallest doc_id, with their columns as they came."""
+    rows = NearDuplicates(docs).components().filter("label is not null")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    stays = rows.groupBy("label").agg(F.min(row).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    told = rows.join(materialize(stays.drop("n"), "stays"), "label").withColumn("row", row)
+    told = materialize(told.groupBy("doc_id", "text_key").agg(F.max(F.col("row") == F.col("stays")).alias("stay"), F.count(F.lit(1)).alias("n")), "told")
+    return drop_rows(docs, told.filter("not stay"), told.filter("stay and n > 1"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm.common import LOWER, SPACE_WORDS, read_table, release_memory, scan_words, sequence_hash, text_chunks, word_hashes
+from chorale.llm.common import LOWER, SPACE_WORDS, fresh_names, read_table, release_memory, scan_words, sequence_hash, text_chunks, word_hashes
 
 SAMPLE_ROWS = 12_000
 KEEP_FROM = 0.3
@@ -285,9 +285,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the classifier accepts, with their columns as they came."""
     model = train(docs, labels)
-    names = docs.columns
-    scored = docs.withColumn("__chorale_stats", statistics(F.col("text")))
-    return scored.filter(model.score(F.col("__chorale_stats")) >= KEEP_FROM).select(*(F.col(f"`{n}`") for n in names))
+    (stats,) = fresh_names(docs, "statistics")
+    scored = docs.withColumn(stats, statistics(F.col("text")))
+    return scored.filter(model.score(F.col(stats)) >= KEEP_FROM).select(*(F.col(f"`{n}`") for n in docs.columns))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

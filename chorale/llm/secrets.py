@@ -12,10 +12,12 @@ inferred (hex, base32, base64), and three tests ask whether its characters look
 Fisher's method makes one p-value of the three. It is uniform on random strings and close to 0 on structured ones. What is
 controlled is the share of structured strings among the reported ones, within each class of length, since short strings
 give weak tests: runs with p >= 0.5 tell how many random strings there are, hence how many of those above a lower bound
-are in excess. The lowest bound with an excess of at most FALSE_SHARE holds. A class with few such runs takes
-DEFAULT_BOUND. The counts behind this come from all documents; they are a small table of fixed size.
+are in excess. The lowest bound with an excess of at most FALSE_SHARE holds. To the counts of each class, whatever its size, come
+those of PRIOR_RUNS random runs and of as many structured ones as make PRIOR_BOUND the bound of a class without runs; the
+more runs a class has, the less they weigh. The counts come from all documents; they are a small table of fixed size.
 
-Every row is worked on by itself, without a shuffle of texts. Cases: a null text counts as empty; an empty text has no
+Texts are read once: spans and p-values are written out, bounds are taken from them and applied to them. Texts aren't
+shuffled. Cases: a null text counts as empty; an empty text has no
 spans. Repeated rows give repeated rows. Other columns are not read.
 """
 
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.functions.text import let, matches
-from chorale.llm.common import read_table
+from chorale.llm.common import materialize, read_table
 
 #: Patterns of the base kinds (fixed values).
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -44,7 +46,7 @@ ALPHABETS = {
 MIN_RUN = 20
 LENGTH_CLASSES = [32, 48, 96]
 BOUNDS = [0.0005, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5]
-FALSE_SHARE, DEFAULT_BOUND, FEW = 0.05, 0.05, 30
+FALSE_SHARE, PRIOR_BOUND, PRIOR_RUNS = 0.05, 0.05, 30
 
 SPAN = "struct<start:bigint,rank:int,stop:bigint>"
 NO_SPANS = f"cast(array() as array<{SPAN}>)"
@@ -148,19 +150,22 @@ def candidates(text: Column) -> Column:
     return matches(text, RUN, body, f"cast(array() as array<struct<span:{SPAN},klass:int,p:double>>)")
 
 
-def bounds_of(docs: DataFrame, text: Column) -> dict[int, float]:
-    """Per class of length the least p that is reported, from the runs of all documents."""
-    runs = docs.select(F.explode(candidates(text)).alias("c")).select("c.klass", "c.p")
+def _estimates(b, upper, above):
+    """The estimated numbers of structured runs with p >= b and of all runs with p >= b, both with the prior's."""
+    prior = PRIOR_RUNS * FALSE_SHARE * PRIOR_BOUND / b
+    return above - 2 * upper * (1 - b) + prior, above + PRIOR_RUNS * (1 - b) + prior
+
+
+def bounds_of(runs: DataFrame) -> list[float]:
+    """Per class of length the least p that is reported, from all runs (klass, p)."""
     above = [F.count_if(F.col("p") >= b).alias(f"b{i}") for i, b in enumerate(BOUNDS)]
-    out = {}
-    for row in runs.groupBy("klass").agg(*above).collect():
-        upper = row[f"b{len(BOUNDS) - 1}"]
-        out[row.klass] = DEFAULT_BOUND
-        if upper >= FEW:
-            for i, b in enumerate(BOUNDS):
-                if 1 - 2 * upper * (1 - b) / row[f"b{i}"] <= FALSE_SHARE:
-                    out[row.klass] = b
-                    break
+    counts = {row.klass: [row[f"b{i}"] for i in range(len(BOUNDS))] for row in runs.groupBy("klass").agg(*above).collect()}
+    out = []
+    for klass in range(len(LENGTH_CLASSES) + 1):
+        n = counts.get(klass, [0] * len(BOUNDS))
+        shares = [_estimates(b, n[-1], k) for b, k in zip(BOUNDS, n)]
+        # (at 0.5 the estimate is the prior's alone, so there is always one)
+        out.append(next(b for b, (structured, every) in zip(BOUNDS, shares) if structured <= FALSE_SHARE * every + 1e-9))
     return out
 
 
@@ -173,20 +178,18 @@ def _joined(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bounds = bounds_of(docs, text)
-    least = F.array(*(F.lit(bounds.get(k, DEFAULT_BOUND)) for k in range(len(LENGTH_CLASSES) + 1)))
-    kept = F.filter(candidates(text), lambda x: x["p"] >= F.get(least, x["klass"]))
     found = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        *(c.alias(k) for c, k in zip(base_spans(text), KINDS)),
-        F.transform(kept, lambda x: x["span"]).alias("random"),
+        F.col(id_col).cast("long").alias("doc_id"), *(c.alias(k) for c, k in zip(base_spans(text), KINDS)), candidates(text).alias("runs")
     )
+    found = materialize(found, "secret-spans")
+    least = F.array(*map(F.lit, bounds_of(found.select(F.explode("runs").alias("c")).select("c.klass", "c.p"))))
+    kept = F.filter("runs", lambda x: x["p"] >= F.get(least, x["klass"]))
     base = F.concat("assign", "access", "hex")
     return found.select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
         F.sha2(_joined(base), 256).alias("base_sha256"),
-        _joined(F.concat(base, F.col("random"))).alias("spans"),
+        _joined(F.concat(base, F.transform(kept, lambda x: x["span"]))).alias("spans"),
     )
 
 
@@ -225,7 +228,7 @@ fiv AS (SELECT *, -(ln({_tail_sql("chi")}) + ln(least(1.0, 2 * {_tail_sql("runs"
 cand AS (SELECT rid, stop - length(m) AS start, stop, klass, exp(-y) * (1 + y + y * y / 2) AS p FROM fiv UNION ALL SELECT rid, stop - length(m), stop, klass, 0.0 FROM nor WHERE length(s) < 8),
 up AS (SELECT klass, count(*) FILTER (p >= 0.5) AS u FROM cand GROUP BY klass),
 ok AS (SELECT c.klass, b.b, any_value(u) AS u, count(*) FILTER (p >= b.b) AS n FROM cand c JOIN up USING (klass), (SELECT CAST(unnest([{_BOUNDS_SQL}]) AS DOUBLE) AS b) b GROUP BY c.klass, b.b),
-bo AS (SELECT klass, CASE WHEN any_value(u) >= {FEW} THEN min(b) FILTER (n > 0 AND 1 - 2 * u * (1 - b) / n <= {FALSE_SHARE}) ELSE {DEFAULT_BOUND} END AS bound FROM ok GROUP BY klass),
+bo AS (SELECT klass, min(b) FILTER (n - 2 * u * (1 - b) + {PRIOR_RUNS * FALSE_SHARE * PRIOR_BOUND} / b <= {FALSE_SHARE} * (n + {PRIOR_RUNS} * (1 - b) + {PRIOR_RUNS * FALSE_SHARE * PRIOR_BOUND} / b) + 1e-9) AS bound FROM ok GROUP BY klass),
 alls AS (SELECT * FROM base UNION ALL SELECT rid, start, 3, stop FROM cand JOIN bo USING (klass) WHERE p >= bound),
 per AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   coalesce(string_agg((['assign', 'access', 'hex', 'random'])[rank + 1] || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (rank < 3), '') AS bs,

@@ -5,7 +5,8 @@ and the sink's gzip codec makes each file one monolithic gzip stream. The normal
 into records by Content-Length, writes every record as its own gzip member and, beside the archive, an index with offset,
 length, type and id of each member. The reader goes by that index: it inflates single members, never a whole file.
 
-Of records with equal payloads of at least MIN_REVISIT bytes, the one with the largest page_id is the response; the others
+Payloads are equal if their SHA-256 and sizes are; SHA-1, which can be made to collide, is only what records carry. Of
+records with equal payloads of at least MIN_REVISIT bytes, the one with the largest page_id is the response; the others
 are revisits, which keep the digest and the HTTP header but no payload. Names of archives are unique to an attempt of a
 task and are listed in a manifest that Spark commits, so a task that runs twice leaves nothing that is read.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.llm.common import fresh_path, materialize, read_table, tidy
@@ -35,21 +36,28 @@ END = b"\r\n\r\n"
 STEP = 1 << 18
 
 
+def _payload(html: Column) -> Column:
+    """What tells payloads apart."""
+    return F.concat(F.sha2(html, 256), F.lit(":"), F.octet_length(html).cast("string"))
+
+
 def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, digest, refers_to) of the pages that become revisits."""
+    """(page_id, payload, refers_to) of the pages that become revisits."""
     html = F.coalesce("html", F.lit(""))
-    sums = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
-    sums = materialize(sums.filter(F.col("size") >= min_bytes), "payloads")
-    groups = sums.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    out = sums.join(materialize(groups.drop("n"), "groups"), "digest").filter("page_id < refers_to")
-    return materialize(out.select("page_id", "digest", "refers_to").distinct(), "revisits")
+    sums = pages.filter(F.octet_length(html) >= min_bytes).select(F.col("page_id").cast("long").alias("page_id"), _payload(html).alias("payload"))
+    sums = materialize(sums, "payloads")
+    groups = sums.groupBy("payload").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    out = sums.join(materialize(groups.drop("n"), "groups"), "payload").filter("page_id < refers_to")
+    return materialize(out.select("page_id", "payload", "refers_to").distinct(), "revisits")
 
 
 def records(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Column record: each page as a WARC record without its closing CRLF CRLF."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    rows = rows.join(revisits(pages, min_bytes), ["page_id", "digest"], "left")
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), _payload(html).alias("payload")
+    )
+    rows = rows.join(revisits(pages, min_bytes), ["page_id", "payload"], "left")
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7F]", "%20")
     again = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: "), F.octet_length("html"), F.lit("\r\n\r\n"))

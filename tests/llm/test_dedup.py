@@ -29,7 +29,25 @@ def test_equal_fingerprints_are_told_apart_by_their_keys():
     index = exact_dedup.CuckooIndex(2)
     keys = [bytes([i]) * 22 + b"samebucket" for i in range(40)]
     assert all(index.insert(k, i) is None for i, k in enumerate(keys[:8]))
-    assert [index.get(k) for k in keys[:9]] == [*range(8), None]
+    assert [index.get(k) for k in keys[:9]] == [*range(8), None] and index.misses > 0
+    # beyond eight no size separates them
+    assert all(index.insert(k, i) is None for i, k in enumerate(keys) if i >= 8)
+    assert [index.get(k) for k in keys] == [*range(40)] and index.beside and len(index.prints) < 10_000
+    assert index.delete(keys[39]) and index.delete(keys[0]) and not index.delete(keys[0]) and index.live == 38
+    assert [index.get(k) for k in keys] == [None, *range(1, 39), None]
+
+
+def test_the_index_decides(spark, data):
+    """What map tasks pass on is what their indexes found; hits and resizing happen there."""
+    rows = exact_dedup._decided(spark.read.parquet(f"{data}/documents.parquet"), "doc_id", "text").select("doc_id", "digest")
+    index = exact_dedup.CuckooIndex(8)
+    for r in rows.collect():
+        exact_dedup._join(index, bytes(r.digest), r.doc_id, 1)
+    assert index.hits > 0 and index.resizes > 0
+    n = sum(1 for _ in index.items())
+    got = exact_dedup.build_index(rows).collect()
+    assert len(got) == n == rows.count() - index.hits
+    assert {bytes(r.digest): (r.keep_id, r.group_size) for r in got} == dict(index.items())
 
 
 def test_more_equal_fingerprints_than_slots_raise_nothing_silently():
@@ -62,7 +80,7 @@ def test_empty_table(spark, run):
 
 
 def test_index_takes_insertions_and_deletions(spark):
-    digests = lambda rows: spark.createDataFrame([(i, bytearray(d * 16)) for i, d in rows], "doc_id long, digest binary")
+    digests = lambda rows: spark.createDataFrame([(i, bytearray(d * 24)) for i, d in rows], "doc_id long, digest binary")
     index = exact_dedup.build_index(digests([(1, b"aa"), (2, b"aa"), (3, b"bb")]))
     after = exact_dedup.update_index(index, digests([(0, b"aa"), (9, b"cc"), (5, b"bb")]), digests([(0, b"bb")]).select("digest"))
     got = {bytes(r.digest)[:2]: (r.keep_id, r.group_size) for r in after.collect()}
@@ -75,6 +93,32 @@ def test_stage_keeps_columns_and_one_of_each(spark):
     assert out.columns == table.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
 
 
+CLASHES = [
+    (3, "a b c d e f"), (4, "a b c d e f"), (4, "a text of its own"), (5, "z"), (5, "z"), (None, "n 1"), (None, "n 1"), (None, "n  1"), (6, "z"), (7, None), (8, ""),
+    (9, "x y"), (9, "x  y"),
+]
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_exact_copies, near_dedup.drop_near_copies])
+def test_stages_judge_rows_not_ids(spark, drop):
+    table = docs(spark, CLASHES).selectExpr("*", "1 AS row_id", "2 AS gone_key", "3 AS __chorale_id", "'p' AS `a.b`")
+    out = drop(table)
+    assert out.columns == table.columns
+    got = sorted(((r.doc_id, " ".join((r.text or "").split())) for r in out.collect()), key=str)
+    want = [(3, "a b c d e f"), (4, "a text of its own"), (5, "z"), (None, "n 1"), (7, ""), (9, "x y")]
+    # empty texts are equal, but not near to anything
+    assert got == sorted(want if drop is exact_dedup.drop_exact_copies else [*want, (8, "")], key=str)
+
+
+def test_near_rows_without_id_and_classes_that_share_one(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (None, long + " x"), (2, "p q r s t u v w"), (2, long + " y"), (7, "p q r s t u v w"), (9, "nothing like it at all here")]
+    got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in near_dedup.near_dedup(docs(spark, rows)).collect()}
+    assert got == {(None, 56): (2, False), (None, 57): (2, False), (2, 57): (2, True), (2, 4): (2, True), (7, 4): (2, False), (9, 2): (9, True)}
+    kept = near_dedup.drop_near_copies(docs(spark, rows)).collect()
+    assert sorted(r.text for r in kept) == sorted([rows[2][1], rows[3][1], rows[5][1]])
+
+
 def _near(table):
     return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_dedup(table).collect()}
 

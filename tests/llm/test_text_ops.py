@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -62,6 +63,15 @@ def test_battery_and_false_share_against_sql(spark, data):
     assert same_rows(secrets.op1(spark, data).toArrow(), oracle(secrets.ORACLE_SQL, documents=spark.read.parquet(f"{data}/documents.parquet")))
 
 
+def test_one_rule_for_the_bounds_at_every_size(spark):
+    runs = lambda rows: spark.createDataFrame(rows, "klass int, p double")
+    assert secrets.bounds_of(runs([])) == [secrets.PRIOR_BOUND] * 4
+    uniform = [(0, (i + 0.5) / 400) for i in range(400)]
+    assert secrets.bounds_of(runs(uniform))[0] <= 0.005
+    assert secrets.bounds_of(runs(uniform + [(0, 0.03)] * 60))[0] == 0.05
+    assert secrets.bounds_of(runs([(0, 0.07)] * 20))[0] == 0.1
+
+
 def test_random_strings_are_found_and_structured_ones_are_not(spark):
     rng = random.Random(2)
     alphabet = secrets.ALPHABETS[64]
@@ -160,6 +170,26 @@ def test_bpe_against_the_library(model, library):
     assert model.decode_batch(ids) == texts
 
 
+def test_long_pieces(model, library):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("abcdefghijklmnopqrstuvwxyz", 80_000), ("ab", 5000), ("中文字", 3000), ("eth", 40_000))]
+    texts += ["a" * n for n in (512, 513, 514, 5001)] + [" " * 2000 + "x", "=" * 1300]
+    began = time.perf_counter()
+    ids = model.encode_batch(texts[:1])
+    assert time.perf_counter() - began < 2  # about 0.5 s on an idle machine
+    ids += model.encode_batch(texts[1:])
+    assert [np.frombuffer(i, "<u4").tolist() for i in ids] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_against_the_library_on_the_table(spark, library, data):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in bpe.op6(spark, data).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_bpe_decodes_broken_bytes_like_the_library(model, library):
     rng = random.Random(4)
     batches = [[rng.randrange(50257) for _ in range(30)] for _ in range(200)]
@@ -309,6 +339,15 @@ def test_token_counts_against_the_library(spark):
     assert placed.count() == 0
 
 
+def test_token_counts_on_the_table(spark, data):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), encoding="ascii") as f:
+        encoding = token_counts._encoding(f.read(), public_tokenizers.PATTERN)
+    want = {r.doc_id: len(encoding.encode_ordinary(r.text or "")) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert {r.doc_id: r.n_tokens for r in token_counts.op9(spark, data).collect()} == want
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------------
 
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog today"), (2, "just three words"), (3, None), (4, "--- !!"), (10, "one"), (10, "quick brown fox jumps over the lazy dog"), (None, "two")]
@@ -318,10 +357,11 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 16])
-def test_decontamination_against_sql(spark, block):
+@pytest.mark.parametrize("index_bytes", [1 << 20, 16])
+def test_decontamination_against_sql(spark, index_bytes):
+    """With 16 bytes the benchmark stays in tables."""
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontamination.contamination(docs(spark, TEXTS), items, block_bytes=block).toArrow()
+    got = decontamination.contamination(docs(spark, TEXTS), items, index_bytes=index_bytes).drop("text_key").toArrow()
     assert same_rows(got, oracle(decontamination.ORACLE_SQL, documents=docs(spark, TEXTS), benchmark=items))
 
 
@@ -330,9 +370,25 @@ def test_decontamination_on_the_table(spark, data):
     assert same_rows(decontamination.op10(spark, data).toArrow(), oracle(decontamination.ORACLE_SQL, **tables))
 
 
-def test_decontamination_of_empty_tables(spark):
+@pytest.mark.parametrize("index_bytes", [1 << 20, -1])
+def test_decontamination_of_empty_tables(spark, index_bytes):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert decontamination.contamination(docs(spark, []), items).count() == 0
-    got = decontamination.contamination(docs(spark, TEXTS), items.limit(0)).collect()
+    assert decontamination.contamination(docs(spark, []), items, index_bytes=index_bytes).count() == 0
+    got = decontamination.contamination(docs(spark, TEXTS), items.limit(0), index_bytes=index_bytes).collect()
     assert len(got) == len(TEXTS) and not any(r.n_hit for r in got)
 
+
+def test_both_plans_agree_on_the_table(spark):
+    documents, items = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "benchmark"))
+    a, b = (decontamination.contamination(documents, items, index_bytes=n).toArrow() for n in (1 << 20, 0))
+    assert same_rows(a, b)
+
+
+def test_documents_with_a_passage_are_dropped(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    table = docs(spark, [*TEXTS, (None, "quick brown fox jumps over the lazy dog today"), (1, "clean"), (None, "clean")])
+    out = decontamination.drop_contaminated(table, items)
+    want = [t for t in TEXTS if t[0] not in (1, 7)] + [(1, "clean"), (None, "clean")]
+    want.remove(TEXTS[2])  # nine words of the three-word item
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want) and out.columns == table.columns
+
