@@ -2,58 +2,65 @@
 
 Tokens are words of the lower-cased text, then one end a document; a token's context is the token before it. The model has
 one restaurant for every context of the training documents, however rare, and a root restaurant that is the parent of all.
-Tokens in contexts that training never saw are drawn from the root. The root's base is uniform over the words seen and one
-place for words never seen.
-
-Training counts every (token, context) of the training documents. Counts are dealt to parts by word, so that the root's
-numbers of a word are at hand where its tokens are seated; words that hold SPREAD_SHARE of the tokens are dealt by pair,
-and their numbers (few words) are summed on the driver. A part's state is a file in the shared folder. Totals of contexts
-are dealt to parts by context: each word part sends its sums by context there and gets the sums over all parts back, in
-the order of its own contexts. So nothing that is broadcast or collected grows with the number of contexts or pairs.
-
-A Gibbs sweep empties the tables of a dish and seats its customers again one by one by the Chinese-restaurant rule, given
-the tables of all other dishes: first in the context restaurants, whose new tables are customers of the parent, then in the
-root. (Beyond 64 customers they come in groups of 1/32 of those seated, with a binomial number of new tables.) Restaurant
-totals are renewed between two rounds of sweeps; within a round every part samples by itself. Customers and tables are
-averaged over the last sweeps, which gives the averaged predictive probabilities; these sum to 1. Discounts are estimated
-from the numbers of dishes seen once and twice.
-
-Scoring reads each text once. Tokens whose word, context and pair are frequent enough for a table of at most TABLE_ROWS are
-scored on the spot; the others are sent to the part of their word. A pair never seen has the probability of its word at the
-root times a weight of its context, so if a part doesn't know the context, the weight is joined by context. Sums by document
-follow. So scores are exact for every token, and what is broadcast doesn't grow with the corpus.
+A context that training never saw passes on what the root says. The root's base is uniform over the words seen and one
+place for words never seen. Discounts come from the numbers of dishes seen once and twice.
+
+Seating is sampled by Gibbs sweeps, all restaurants at once, which auxiliary variables make exact:
+
+* given the root's distribution G over words and a Gamma variable g of the context (shape THETA / d + its tables), the tables
+  of each dish are independent of all other dishes: t tables for c customers have weight S(c, t) * (d * g * G(dish)) ** t,
+  S being the number of seatings (generalised Stirling numbers). Up to FEW customers t is drawn from these weights. Beyond,
+  a Chinese restaurant whose strength fits the weights is seated customer by customer (those that open no table are skipped
+  in one step), and the outcome is accepted or refused by Metropolis and Hastings' rule;
+* the tables of all contexts are the customers of the root, whose tables are drawn likewise, and G is drawn from the Dirichlet
+  distribution that its seating gives (for the rest of its mass the mean, the base, stands).
+
+After BURN_IN sweeps each of SAMPLES seatings gives predictive probabilities; their average is the probability of a token,
+and `perplexity` follows from it. Random numbers are hashes of the word, or of the pair, and the sweep, and what is summed
+over parts are integers, so scores don't depend on how rows are dealt.
+
+One scan turns documents into windows of tokens. Each window sends, once, its distinct (context, token) pairs to parts by
+context, with the places of their documents; contexts that hold SPREAD_SHARE of the tokens are dealt by pair, and their few
+numbers are added up by the driver. A part joins its pairs and keeps them as files in the shared folder. Words are dealt to
+parts of their own: in a sweep each pair part sends the tables of its words there and gets their share of G back, in the
+order of its words. At the end a part scores its own tokens and returns sums by document to the windows. So what is gathered
+grows with the input, and nothing that is broadcast or collected does.
 
 Cases: a null or empty text is one end token. A document without id is never learned from and counts as held out.
 Repeated rows give repeated rows; in training they count each. Without training documents the base is uniform over one
-place. Other columns are not read.
+place. Other columns are not read. A task that runs twice has to give the same windows; if it doesn't, documents with missing
+tokens raise an error.
 """
 
 from __future__ import annotations
 
 import gc
 import pickle
+import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.llm.common import LOWER, SPACE_WORDS, STEP, fresh_path, materialize, mix64, read_table, scan_words, text_chunks, tidy, word_hashes
 
 SPREAD_SHARE = 1 / 1000
-PART_BYTES = 16 << 20
-TABLE_ROWS = 1 << 20
-WINDOW_TOKENS = 1 << 20
-FAR_BYTES = 4 << 20
+PART_TOKENS, WINDOW_TOKENS = 4 << 20, 2 << 20
 THETA = 1.0
-BURN_IN, SAMPLES = 3, 4
+BURN_IN, SAMPLES = 2, 3
+FEW = 32
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BE6546B64)
 
 
+# --- tokens and parts --------------------------------------------------------------------------------------------------
+
+
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of a chunk of texts with their ends, the token before each, and where each text begins (and the total)."""
     low = LOWER[data]
@@ -70,35 +77,6 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return tokens, before, begin
 
 
-def _windows(batches: Iterator[pa.RecordBatch], make: Callable) -> Iterator[list[np.ndarray]]:
-    """make(tokens, contexts) of each chunk of texts, its arrays put together for about WINDOW_TOKENS tokens."""
-    held, n = [], 0
-    for batch in batches:
-        for _, _, data, offsets in text_chunks(batch.column("text")):
-            tokens, before, _ = tokens_of(data, offsets)
-            held.append(make(tokens, before))
-            n += len(tokens)
-            if n >= WINDOW_TOKENS:
-                yield [np.concatenate(x) for x in zip(*held)]
-                held, n = [], 0
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
-
-
-def _frequent(share: float):
-    """Words that hold a tenth of the share in a window, and (null) the window's tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (tokens,) in _windows(batches, lambda tokens, before: (tokens,)):
-            found, counts = np.unique(tokens, return_counts=True)
-            many = counts >= share / 10 * len(tokens)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*found[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[many].tolist(), len(tokens)], pa.int64())], names=["h", "c"]
-            )
-
-    return tidy(run)
-
-
 def _place(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """1 + the index of each value in the sorted keys, 0 if it isn't there."""
     if not len(keys):
@@ -112,30 +90,6 @@ def _place(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-class Table:
-    """Sorted hashes that are looked up by their leading bits."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.shift = np.uint64(64 - max(len(keys).bit_length(), 1))
-        self.starts = np.searchsorted(keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
-
-    def place(self, values: np.ndarray) -> np.ndarray:
-        """As _place."""
-        out = np.zeros(len(values), np.int64)
-        bucket = (values >> self.shift).astype(np.int64)
-        at, end = self.starts[bucket], self.starts[bucket + 1]
-        left = np.flatnonzero(at < end)
-        at, end, sought = at[left], end[left], values[left]
-        while len(left):
-            same = self.keys[at] == sought
-            out[left[same]] = at[same] + 1
-            at = at + 1
-            more = np.flatnonzero(~same & (at < end))
-            left, at, end, sought = left[more], at[more], end[more], sought[more]
-        return out
-
-
 def pair_key(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix64(tokens + before * STEP)
 
@@ -152,92 +106,194 @@ def _part(tokens: np.ndarray, before: np.ndarray, spread: np.ndarray, parts: int
     return order, _range(h[order], parts)
 
 
-def _blobs(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """(part, its rows of the columns as bytes, column after column) for sorted parts."""
-    bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
-    for i, j in zip(bounds, [*bounds[1:], len(part)]):
-        yield int(part[i]), b"".join(c[i:j].tobytes() for c in columns)
-
-
-def _columns(blobs: list[bytes], types: list) -> list[np.ndarray]:
-    """What _blobs made bytes of, blob after blob."""
-    width = sum(np.dtype(t).itemsize for t in types)
-    held = [[] for _ in types]
-    for raw in blobs:
-        n, at = len(raw) // width, 0
-        for out, t in zip(held, types):
-            out.append(np.frombuffer(raw, t, n, at))
-            at += n * np.dtype(t).itemsize
-    return [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(held, types)]
-
-
-def _pack(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    """As _blobs, with hashes as places in a list of those that occur: hashes don't compress."""
-    bounds = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
-    for i, j in zip(bounds, [*bounds[1:], len(part)]):
-        out = [np.int64(j - i).tobytes()]
-        for c in columns:
-            if c.dtype == np.uint64:
-                found, at = np.unique(c[i:j], return_inverse=True)
-                out += [np.int64(len(found)).tobytes(), found.tobytes(), at.astype(_places(len(found))).tobytes()]
-            else:
-                out.append(c[i:j].tobytes())
-        yield int(part[i]), b"".join(out)
+# --- sampling ----------------------------------------------------------------------------------------------------------
 
 
-def _places(n: int) -> type:
-    return np.uint16 if n <= 1 << 16 else np.int32
+def uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
+    """A number between 0 and 1 for each key, fixed by key and salt."""
+    seed = xxhash.xxh3_64_intdigest(struct.pack(f"<{len(salt)}q", *salt))
+    return ((mix64(keys * STEP + np.uint64(seed)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _unpack(blobs: list[bytes], types: list) -> list[np.ndarray]:
-    """What _pack made bytes of, blob after blob."""
-    held = [[] for _ in types]
-    for raw in blobs:
-        at = 8
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
+def gamma(shape: np.ndarray, keys: np.ndarray, *salt: int) -> np.ndarray:
+    """Gamma variables by Marsaglia and Tsang's rejection, fixed by key and salt."""
+    a = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    out, open_, turn = np.empty(len(a)), np.arange(len(a)), 0
+    while len(open_):
+        u, angle, test = (uniform(keys[open_], *salt, 3 * turn + i) for i in range(3))
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * angle)
+        d = a[open_]
+        v = (1 + x / np.sqrt(9 * d)) ** 3
+        good = (v > 0) & (np.log(test) < x * x / 2 + d - d * v + d * np.log(np.maximum(v, 1e-300)))
+        out[open_[good]] = (d * v)[good]
+        open_, turn = open_[~good], turn + 1
+    small = np.flatnonzero(shape < 1)
+    out[small] *= uniform(keys[small], *salt, -1) ** (1 / shape[small])
+    return out
 
-        def take(t, n):
-            nonlocal at
-            out = np.frombuffer(raw, t, n, at)
-            at += out.nbytes
-            return out
 
-        for out, t in zip(held, types):
-            if t is np.uint64:
-                found = take(t, int(take(np.int64, 1)[0]))
-                out.append(found[take(_places(len(found)), n)])
-            else:
-                out.append(take(t, n))
-    return [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(held, types)]
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function of positive numbers."""
+    y, shift = np.array(x, np.float64), 0.0
+    while len(y) and y.min() < 7:
+        small = y < 7
+        shift = shift + np.where(small, np.log(y), 0.0)
+        y = np.where(small, y + 1, y)
+    z = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - z * (1 / 360 - z / 1260)) / y - shift
+
+
+def log_seatings(d: float, most: int = FEW) -> np.ndarray:
+    """Logarithms of generalised Stirling numbers: the seatings of c customers at t tables with discount d."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    for c in range(1, most):
+        t = np.arange(1, c + 2)
+        with np.errstate(divide="ignore"):
+            out[c + 1, 1 : c + 2] = np.logaddexp(out[c, t - 1], out[c, t] + np.log(np.maximum(c - t * d, 0)))
+    return out
 
 
-MESSAGE = "p int, kind int, source int, data binary"
+def _few_tables(c: np.ndarray, log_a: np.ndarray, u: np.ndarray, seatings: np.ndarray) -> np.ndarray:
+    t = np.minimum(c, 1)
+    for k in range(2, FEW + 1):
+        rows = np.flatnonzero(c == k)
+        if len(rows):
+            weight = seatings[k, 1 : k + 1] + log_a[rows, None] * np.arange(1, k + 1)
+            weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            t[rows] = 1 + (weight[:, :-1] < (u[rows] * weight[:, -1])[:, None]).sum(axis=1)
+    return t
+
+
+def _crowd(c: np.ndarray, strength: np.ndarray, d: float, keys: np.ndarray, *salt: int) -> np.ndarray:
+    """Tables of Chinese restaurants after c customers, by steps from one new table to the next."""
+    t, n = np.ones(len(c), np.int64), np.ones(len(c), np.int64)
+    open_, turn = np.arange(len(c)), 0
+    while len(open_):
+        s, td, first, last = strength[open_], t[open_] * d, n[open_], c[open_]
+        start = log_gamma(first - td) - log_gamma(s + first)
+        wanted = np.log(uniform(keys[open_], *salt, turn)) + start
+        none_till = lambda m: log_gamma(m - td) - log_gamma(s + m)  # noqa: B023, E731
+        more = none_till(last) <= wanted
+        low, high = first, last  # the chance that no table is new up to `low` customers is above the wanted one
+        while (wide := high - low > 1).any():
+            middle = np.where(wide, (low + high) // 2, high)
+            below = none_till(middle) <= wanted
+            low, high = np.where(wide & ~below, middle, low), np.where(wide & below, middle, high)
+        open_, high = open_[more], high[more]
+        t[open_] += 1
+        n[open_] = high
+        open_ = open_[high < c[open_]]
+        turn += 1
+    return t
+
+
+def _fitting_strength(c: np.ndarray, a: np.ndarray, d: float) -> np.ndarray:
+    """The strength of a restaurant whose expected strength + d * tables after c customers is about a."""
+    low, high = np.full(len(c), np.log(1e-6)), np.log(np.maximum(a, 1e-5))
+    for _ in range(14):
+        middle = (low + high) / 2
+        s = np.exp(middle) - d
+        above = log_gamma(s + 1) - log_gamma(s + d) + log_gamma(s + d + c) - log_gamma(s + c) > np.log(a)
+        low, high = np.where(above, low, middle), np.where(above, middle, high)
+    return np.exp((low + high) / 2) - d
+
+
+def tables(c: np.ndarray, log_a: np.ndarray, before: np.ndarray, d: float, seatings: np.ndarray, keys: np.ndarray, *salt: int) -> np.ndarray:
+    """New numbers of tables for dishes of c customers, with weight S(c, t) * a ** t; `before` holds the present ones."""
+    t = _few_tables(np.where(c > FEW, 0, c), log_a, uniform(keys, *salt, 0), seatings)
+    many = np.flatnonzero(c > FEW)
+    if len(many):
+        k, log_a, old, keys = c[many], log_a[many], before[many], keys[many]
+        s = _fitting_strength(k, np.exp(log_a), d)
+        new = _crowd(k, s, d, keys, *salt, 1)
+        weight = lambda t: t * (log_a - np.log(d)) - log_gamma(s / d + t)
+        t[many] = np.where(np.log(uniform(keys, *salt, 2)) < weight(new) - weight(old), new, old)
+    return t
 
 
-def _messages(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["p", "kind", "source", "data"])
+def sweep_contexts(c, at, t, sizes, g_root, discount, seatings, keys, contexts, sweep: int) -> np.ndarray:
+    """New tables of the dishes (c customers, t tables now, in restaurant `at`) of restaurants with so many tables in all."""
+    g = gamma(THETA / discount + sizes, contexts, sweep, 0)
+    return tables(c, np.log(discount * g[at] * g_root), t, discount, seatings, keys, sweep, 1)
 
 
-def _dealt(messages: DataFrame, parts: int) -> DataFrame:
-    return messages.repartition(parts, "p").sortWithinPartitions("p", "kind", "source")
+def sweep_root(c, t, total: int, words: int, discount, seatings, keys, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    """New tables of the root's dishes, and its Gamma variables in units of 2 ** -16; `total` is the number of tables now."""
+    g = gamma(np.array([THETA / discount + total]), np.zeros(1, np.uint64), sweep, 2)[0]
+    seen = c > 0
+    log_a = np.full(len(c), np.log(discount * g / (words + 1)))
+    t = np.where(seen, tables(c, log_a, np.clip(t, 1, np.maximum(c, 1)), discount, seatings, keys, sweep, 3), 0)
+    mass = np.zeros(len(c))
+    mass[seen] = gamma((c - discount * t)[seen], keys[seen], sweep, 4)
+    return t, np.round(mass * 65536).astype(np.int64)
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
-    """Each part with its messages (kind, source, data), sorted."""
+def rest_of_root(total: int, discount: float, sweep: int) -> float:
+    """The Gamma variable of the root's mass beyond its dishes."""
+    return float(gamma(np.array([THETA + discount * total]), np.zeros(1, np.uint64), sweep, 5)[0])
+
+
+# --- messages between parts ----------------------------------------------------------------------------------------------
+
+MESSAGE = "p int, kind int, source long, x long, data binary"
+STAT = 9
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same natural numbers in as few bytes as they need."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
+
+
+def _dump(*arrays: np.ndarray) -> bytes:
+    return b"".join(x for a in arrays for x in (struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)), a.tobytes()))
+
+
+def _load(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        kind, n = struct.unpack_from("<2sq", raw, at)
+        out.append(np.frombuffer(raw, np.dtype(kind.decode()), n, at + 10))
+        at += 10 + out[-1].nbytes
+    return out
+
+
+def _messages(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (p, kind, source, x, data)."""
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["p", "kind", "source", "x", "data"])
+
+
+def _counts(**named: int) -> list[tuple]:
+    """Numbers that are summed over all parts, by name."""
+    return [(-1, STAT, 0, int(x), name.encode()) for name, x in named.items()]
+
+
+def _totals(sent: DataFrame) -> dict[str, int]:
+    rows = sent.filter(F.col("kind") == STAT).groupBy(F.col("data").cast("string").alias("name")).agg(F.sum("x").alias("x"))
+    return {r.name: r.x for r in rows.collect()}
+
+
+def _dealt(sent: DataFrame, parts: int) -> DataFrame:
+    return sent.filter(F.col("kind") != STAT).repartition(parts, "p").sortWithinPartitions("p", "kind", "source", "x")
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Each part with its messages (kind, source, x, data), sorted."""
     p, held = None, []
     for batch in batches:
-        for part, kind, source, data in zip(*(batch.column(c).to_pylist() for c in ("p", "kind", "source", "data"))):
+        for part, *message in zip(*(batch.column(c).to_pylist() for c in ("p", "kind", "source", "x", "data"))):
             if part != p and held:
                 yield p, held
                 held = []
             p = part
-            held.append((kind, source, data))
+            held.append(tuple(message))
     if held:
         yield p, held
 
 
-def _put(folder: str, name: str, value: dict) -> None:
+def _put(folder: str, name: str, value) -> None:
     """Write a part's state; a repeated task puts the same in its place."""
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
@@ -247,319 +303,296 @@ def _put(folder: str, name: str, value: dict) -> None:
     fs.move(own, f"{base}/{name}")
 
 
-def _get(folder: str, name: str) -> dict:
+def _get(folder: str, name: str, missing=None):
+    """What was put there; `missing` for parts that had nothing to keep."""
     fs, base = pafs.FileSystem.from_uri(folder)
+    if missing is not None and fs.get_file_info(f"{base}/{name}").type != pafs.FileType.File:
+        return missing
     with fs.open_input_stream(f"{base}/{name}", compression="lz4") as f:
         return pickle.loads(f.read())
 
 
-def _stats(folder: str, name: str, parts: int) -> list[dict]:
-    """The small numbers that each part left; parts without rows have none."""
-    fs, base = pafs.FileSystem.from_uri(folder)
-    found = fs.get_file_info([f"{base}/{name}-{p}" for p in range(parts)])
-    return [_get(folder, f.base_name) for f in found if f.type == pafs.FileType.File]
+# --- the stages ----------------------------------------------------------------------------------------------------------
 
 
-def _counts(parts: int, spread):
-    """Counts of (token, context) in each window, as messages to the parts."""
+def _frequent(share: float):
+    """Contexts that hold a tenth of the share in a window, and (null) the window's tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, before, keys in _windows(batches, lambda tokens, before: (tokens, before, pair_key(tokens, before))):
-            _, at, counts = np.unique(keys, return_index=True, return_counts=True)
-            w, v = tokens[at], before[at]
-            order, p = _part(w, v, spread.value, parts)
-            yield _messages([(q, 0, 0, raw) for q, raw in _pack(p, [w[order], v[order], counts[order].astype(np.int32)])])
+        held, n = [], 0
+
+        def flush():
+            found, counts = np.unique(np.concatenate(held), return_counts=True)
+            many = counts >= share / 10 * n
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*found[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[many].tolist(), n], pa.int64())], names=["h", "c"]
+            )
+
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column("text")):
+                held.append(tokens_of(data, offsets)[1])
+                n += len(held[-1])
+                if n >= WINDOW_TOKENS:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
 
     return tidy(run)
 
 
-def _ask(p: int, contexts: np.ndarray, parts: int, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """Messages of part p to the parts of its (sorted) contexts, with sums of each."""
-    return _messages([(q, 0, p, raw) for q, raw in _blobs(_range(contexts, parts), [contexts, *columns])])
+def _window(tokens, before, lengths, learned, ids, null, seed: int, parts: int, spread: np.ndarray) -> list[tuple]:
+    """Messages of one window: its pairs and the places (2 * document + learned) of their tokens, and its documents."""
+    key = pair_key(tokens, before)
+    found, at, pair, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    window = xxhash.xxh3_64_intdigest(found.tobytes() + ids.tobytes() + lengths.tobytes(), seed=seed) - 2**63
+    w, v = tokens[at], before[at]
+    order, p = _part(v, w, spread, parts)
+    w, v, n = w[order], v[order], n[order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    places = _narrow(np.repeat(2 * np.arange(len(lengths)) + learned, lengths))[np.argsort(rank[pair], kind="stable")]
+    ends = np.append(0, np.cumsum(n))
+    bounds = np.append(np.flatnonzero(np.diff(p, prepend=-1)), len(p)).tolist()
+    home = int(_range(mix64(np.array([window]).view(np.uint64)), parts)[0])
+    out = [(home, 1, window, 0, _dump(ids, null, _narrow(lengths)))]
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        words, w_at = np.unique(w[i:j], return_inverse=True)
+        contexts, v_at = np.unique(v[i:j], return_inverse=True)
+        out.append((int(p[i]), 0, window, 0, _dump(words, _narrow(w_at), contexts, _narrow(v_at), _narrow(n[i:j]), places[ends[i] : ends[j]])))
+    return out
 
 
-def _merge(folder: str, parts: int, spread):
-    """Joins the counts of a part to its state: words, bounds of their entries, context and count of each; asks for dishes."""
+def _send(parts: int, spread: np.ndarray):
+    """Windows of (doc_id, text, learned), as messages to the parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, n = [], 0, 0
+        task = TaskContext.get().partitionId()
+
+        def flush():
+            return _messages(_window(*(np.concatenate(x) for x in zip(*held)), (task << 24) + n, parts, spread))
+
+        for batch in batches:
+            ids, learned = batch.column("doc_id"), batch.column("learned").to_numpy(zero_copy_only=False)
+            null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in text_chunks(batch.column("text")):
+                tokens, before, begin = tokens_of(data, offsets)
+                held.append((tokens, before, np.diff(begin), learned[a:b], ids[a:b], null[a:b].astype(np.uint8)))
+                size += len(tokens)
+                if size >= WINDOW_TOKENS:
+                    yield flush()
+                    held, size, n = [], 0, n + 1
+        if held:
+            yield flush()
+
+    return tidy(run)
+
+
+def _to_words(p: int, words: np.ndarray, parts: int, columns: list[np.ndarray]) -> list[tuple]:
+    """Messages of a pair part to the parts of its (sorted) words."""
+    q = _range(words, parts)
+    bounds = np.append(np.flatnonzero(np.diff(q, prepend=-1)), len(q)).tolist()
+    return [(int(q[i]), 0, p, 0, _dump(*(c[i:j] for c in columns))) for i, j in zip(bounds[:-1], bounds[1:])]
+
+
+def _spread_counts(name: str, contexts: np.ndarray, spread: np.ndarray, x: np.ndarray) -> list[tuple]:
+    place = _place(contexts, spread)
+    return _counts(**{f"{name}{place[i]}": x[i] for i in np.flatnonzero(place)})
+
+
+def _join(folder: str, parts: int, spread: np.ndarray):
+    """Joins the pairs of a part from all windows and keeps them; tells the word parts its words, with customers and first tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, messages in _by_part(batches):
-            w, v, c = _unpack([m[2] for m in messages], [np.uint64, np.uint64, np.int32])
+            _put(folder, f"documents-{p}", [(source, data) for kind, source, _, data in messages if kind == 1])
+            held, windows = [], []
+            for kind, source, _, data in messages:
+                if kind == 0:
+                    words, w_at, contexts, v_at, n, places = _load(data)
+                    held.append((words[w_at], contexts[v_at], n.astype(np.int64), places.astype(np.uint32), np.full(len(places), len(windows), np.uint32)))
+                    windows.append(source)
             del messages
-            order = np.lexsort((v, w))
-            w, v, c = w[order], v[order], c[order].astype(np.int64)
+            if not held:
+                continue
+            w, v, n, places, window = (np.concatenate(x) for x in zip(*held))
+            del held
+            order = np.lexsort((w, v))
+            starts = (np.cumsum(n) - n)[order]
+            w, v, n = w[order], v[order], n[order]
+            token = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            places, window = places[token], window[token]
             first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (v[1:] != v[:-1])))
-            w, v, c = w[first], v[first], np.add.reduceat(c, first)
-            start = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-            words, lengths = w[start], np.diff(np.append(start, len(w)))
-            count = np.add.reduceat(c, start)
-            place = _place(words, spread.value)
-            own = place == 0
-            several = np.zeros((2, len(spread.value)))
-            several[:, place[~own] - 1] = lengths[~own], count[~own]
-            _put(folder, f"state-{p}", {"words": words, "lengths": lengths, "count": count, "v": v, "c": c})
-            _put(folder, f"counted-{p}", {
-                "p": p,
-                "dishes": np.array([(c == 1).sum(), (c == 2).sum()]), "root": np.array([own.sum(), lengths[own].sum(), (lengths[own] == 1).sum(), (lengths[own] == 2).sum()]),
-                "tokens": int(c.sum()), "several": several,
+            begin = (np.cumsum(n) - n)[first]
+            n = np.add.reduceat(n, first)
+            c = np.add.reduceat((places & 1).astype(np.int64), begin)
+            words, w_at = np.unique(w[first], return_inverse=True)
+            contexts, v_at = np.unique(v[first], return_inverse=True)
+            del w, v, order, token
+            per = lambda at, x, size: np.bincount(at, weights=x, minlength=size).astype(np.int64)
+            _put(folder, f"pairs-{p}", {"w_at": _narrow(w_at), "v_at": _narrow(v_at), "c": _narrow(c), "n": _narrow(n)})
+            _put(folder, f"tokens-{p}", {"windows": windows, "window": _narrow(window), "place": _narrow(places >> 1)})
+            many, one = np.flatnonzero(c > 1), c == 1
+            customers = per(v_at, c, len(contexts))
+            _put(folder, f"many-{p}", {
+                "words": words, "contexts": contexts, "customers": customers, "w_at": _narrow(w_at[many]), "v_at": _narrow(v_at[many]), "c": c[many],
+                "w_ones": per(w_at, one, len(words)), "v_ones": per(v_at, one, len(contexts)),
             })
-            contexts, at = np.unique(v, return_inverse=True)
-            yield _ask(p, contexts, parts, [np.bincount(at, minlength=len(contexts)).astype(np.float64)])
+            dishes = per(v_at, c > 0, len(contexts))
+            rows = _to_words(p, words, parts, [words, _narrow(per(w_at, c, len(words))), _narrow(per(w_at, c > 0, len(words)))])
+            rows += _counts(once=one.sum(), twice=(c == 2).sum(), tokens=c.sum())
+            yield _messages(rows + _spread_counts("customers", contexts, spread, customers) + _spread_counts("tables", contexts, spread, dishes))
 
     return tidy(run)
 
 
-def _answer(columns: int):
-    """Sums by context over all parts that asked, in the order of each."""
+def _enrol(folder: str):
+    """Keeps the words of a word part, their counts, and which of them each pair part has, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for q, messages in _by_part(batches):
-            v, *xs = _columns([m[2] for m in messages], [np.uint64, *[np.float64] * columns])
-            _, at = np.unique(v, return_inverse=True)
-            sums = [np.bincount(at, weights=x)[at] for x in xs]
-            begin = 0
-            for _, p, raw in messages:
-                n = len(raw) // (8 * (columns + 1))
-                yield _messages([(p, 0, q, b"".join(x[begin : begin + n].tobytes() for x in sums))])
-                begin += n
+            asked = [_load(data) for *_, data in messages]
+            words, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+            add = lambda i: np.bincount(at, weights=np.concatenate([a[i] for a in asked]), minlength=len(words)).astype(np.int64)  # noqa: B023, E731
+            count, contexts = add(1), add(2)
+            _put(folder, f"words-{q}", {"words": words, "count": count, "at": _narrow(at), "sources": [(m[1], len(a[0])) for m, a in zip(messages, asked)]})
+            yield _messages(_counts(words=(count > 0).sum(), root_once=(contexts == 1).sum(), root_twice=(contexts == 2).sum()))
 
     return tidy(run)
 
 
-def seat(c: np.ndarray, chance: np.ndarray, others: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating c customers of each dish, with the parent's chance of the dish and the tables of other dishes."""
-    t = np.minimum(c, 1).astype(np.float64)
-    seated = t.copy()
-    open_ = np.flatnonzero(seated < c)
-    while len(open_):
-        s, k, left = seated[open_], t[open_], c[open_] - seated[open_]
-        new = (THETA + d * (others[open_] + k)) * chance[open_]
-        group = np.minimum(left, np.where(s < 64, 1, s // 32)).astype(np.int64)
-        t[open_] += rng.binomial(group, new / (new + s - d * k))
-        seated[open_] += group
-        open_ = open_[group < left]
-    return t
-
+def _root(folder: str, m: dict, sweep: int, samples: list[int] | None):
+    """A sweep of the root over a word part, given the tables of all contexts; answers with its Gamma variables.
 
-def _sweeps(folder: str, parts: int, state, rounds: tuple[int, int], averaged: bool):
-    """Gibbs sweeps over a part, given the tables of its contexts; asks for the new tables, or for the averaged model's sums."""
+    If samples are given, this is the last one, and the answers are the words' counts and their customers less discounts in
+    each sample.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = state.value
-        d, spread = m["discounts"], m["spread"]
-        for p, messages in _by_part(batches):
-            (tables,) = _columns([x[2] for x in messages], [np.float64])
-            held = _get(folder, f"state-{p}")
-            c, words = held["c"].astype(np.float64), held["words"]
-            contexts, at = np.unique(held["v"], return_inverse=True)
-            n = len(words)
-            r, total = np.repeat(np.arange(n), held["lengths"]), tables[at]
-            place = _place(words, spread)
-            several = np.flatnonzero(place)
-            # customers that other parts hold of a frequent word
-            others = np.zeros(n)
-            others[several] = m["several"][place[several] - 1] - m["own"].get(p, np.zeros(len(spread)))[place[several] - 1]
-            rng = np.random.default_rng([p, int(averaged)])
-            t, t0 = np.ones(len(c)), np.ones(n)
-            c0 = others + held["lengths"]
-            kept_t, kept_c0, kept_t0 = np.zeros(len(c)), np.zeros(n), np.zeros(n)
-            base = np.full(n, 1 / (m["words"] + 1))
-            for sweep in range(sum(rounds)):
-                p0 = (np.maximum(c0 - d[1] * t0, 0) + (THETA + d[1] * m["tables"]) * base) / (THETA + m["customers"])
-                t = seat(c, p0[r], np.maximum(total - t, 0), d[0], rng)
-                c0 = others + np.bincount(r, weights=t, minlength=n)
-                t0 = seat(c0, base, np.maximum(m["tables"] - t0, 0), d[1], rng)
-                if sweep >= rounds[0]:
-                    kept_t, kept_c0, kept_t0 = kept_t + t / rounds[1], kept_c0 + (c0 - others) / rounds[1], kept_t0 + t0 / rounds[1]
-            shared = np.zeros((3, len(spread)))
-            shared[:, place[several] - 1] = kept_c0[several], kept_t0[several], np.ones(len(several))
-            own = place == 0
-            found = {"p": p, "shared": shared, "root": np.array([kept_t0[own].sum(), kept_c0[own].sum()])}
-            sums = lambda x: np.bincount(at, weights=x, minlength=len(contexts))
-            if averaged:
-                value = (c - d[0] * kept_t).astype(np.float32)
-                found |= {"word_sizes": np.bincount(_bin(held["count"][own]), minlength=501), "pair_sizes": np.bincount(_bin(value), minlength=501)}
-                _put(folder, f"model-{p}", {"r": kept_c0 - d[1] * kept_t0, "value": value})
-                asked = [sums(value), sums(c)]
+        seatings = log_seatings(m["d"][1])
+        for q, messages in _by_part(batches):
+            held = _get(folder, f"words-{q}")
+            at, n = held["at"], len(held["words"])
+            c = np.bincount(at, weights=np.concatenate([_load(data)[-1] for *_, data in messages]), minlength=n).astype(np.int64)
+            t = _get(folder, f"root-{q}-{sweep - 1}")["t"].astype(np.int64) if sweep else np.ones(n, np.int64)
+            t, mass = sweep_root(c, t, m["root_tables"], m["words"], m["d"][1], seatings, held["words"], sweep)
+            _put(folder, f"root-{q}-{sweep}", {"t": _narrow(t), "r": (c - m["d"][1] * t).astype(np.float32)})
+            if samples is None:
+                columns = [(mass / 65536).astype(np.float32)]
             else:
-                asked = [sums(kept_t)]
-            _put(folder, f"{'averaged' if averaged else 'swept'}-{p}", found)
-            yield _ask(p, contexts, parts, asked)
+                columns = [_narrow(held["count"]), *(_get(folder, f"root-{q}-{k}")["r"] for k in samples)]
+            rows, begin = _counts(mass=mass.sum(), customers=c.sum(), tables=t.sum()), 0
+            for p, size in held["sources"]:
+                own = at[begin : begin + size]
+                rows.append((p, 0, q, 0, _dump(*(x[own] for x in columns))))
+                begin += size
+            yield _messages(rows)
 
     return tidy(run)
 
 
-def _bin(x: np.ndarray) -> np.ndarray:
-    return np.minimum(np.floor(np.log2(np.maximum(x, 1)) * 8), 500).astype(np.int64)
+def _answers(messages: list[tuple]) -> list[np.ndarray]:
+    """The columns of a pair part's words, from the answers of the word parts in order."""
+    return [np.concatenate(x) for x in zip(*(_load(data) for *_, data in messages))]
 
 
-def _least(sizes: np.ndarray, most: int) -> int:
-    """The least bin such that at most `most` entries are in it or above."""
-    above = np.cumsum(sizes[::-1])[::-1]
-    return int(np.argmax(np.append(above, 0) <= most))
+def _override(contexts: np.ndarray, spread: np.ndarray, own: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Numbers of a part's contexts, those of spread contexts over all parts."""
+    place = _place(contexts, spread)
+    return np.where(place > 0, np.append(0, totals)[place], own)
 
 
-def _weights(discount: float, limit: int = 100_000):
-    """The answered sums of values and customers as inverse and weight of each context: to the parts that asked (kind 0), and once each (kind 1)."""
+def _contexts(folder: str, parts: int, m: dict, sweep: int):
+    """A sweep over the contexts of a pair part, given the root's distribution; tells the word parts the new tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for q, messages in _by_part(batches):
-            v, values, customers = _columns([m[2] for m in messages], [np.uint64, np.float64, np.float64])
-            contexts, at = np.unique(v, return_inverse=True)
-            customers = np.bincount(at, weights=customers)
-            tables = np.maximum(customers - np.bincount(at, weights=values), 0) / discount
-            inverse = 1 / (THETA + customers)
-            weight = (THETA + discount * tables) * inverse
-            for i in range(0, len(contexts), limit):
-                j = slice(i, i + limit)
-                yield _messages([(q, 1, i, b"".join(x[j].tobytes() for x in (contexts, customers, weight)))])
-            begin = 0
-            for _, p, raw in messages:
-                own = at[begin : begin + len(raw) // 24]
-                yield _messages([(p, 0, q, inverse[own].tobytes() + weight[own].tobytes())])
-                begin += len(own)
+        seatings = log_seatings(m["d"][0])
+        for p, messages in _by_part(batches):
+            (mass,) = _answers(messages)
+            held = _get(folder, f"many-{p}")
+            words, contexts, w_at, v_at, c = (held[k] for k in ("words", "contexts", "w_at", "v_at", "c"))
+            g_root = (mass + m["rest"] / (m["words"] + 1)) / (m["mass"] + m["rest"])
+            t = _get(folder, f"tables-{p}-{sweep - 1}").astype(np.int64) if sweep else np.ones(len(c), np.int64)
+            per = lambda at, x, ones: ones + np.bincount(at, weights=x, minlength=len(ones)).astype(np.int64)
+            sizes = _override(contexts, m["spread"], per(v_at, t, held["v_ones"]), m["spread_tables"])
+            t = sweep_contexts(c, v_at, t, sizes, g_root[w_at], m["d"][0], seatings, pair_key(words[w_at], contexts[v_at]), contexts, sweep)
+            _put(folder, f"tables-{p}-{sweep}", _narrow(t))
+            sizes = per(v_at, t, held["v_ones"])
+            yield _messages(_to_words(p, words, parts, [_narrow(per(w_at, t, held["w_ones"]))]) + _spread_counts("tables", contexts, m["spread"], sizes))
 
     return tidy(run)
 
 
-@tidy
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column("data").to_pylist():
-            v, customers, weight = _columns([raw], [np.uint64, np.float64, np.float64])
-            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(customers), pa.array(weight)], names=["v", "customers", "weight"])
-
-
-def _entries(folder: str, spread, words_least: int, pairs_least: int):
-    """Words (v null; of those in one part) and pairs of the model whose size is in the given bin or above."""
+def _score(folder: str, parts: int, m: dict):
+    """The averaged predictive probabilities of a part's tokens, as sums by document to the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in batch.column("p").to_pylist():
-                held, model = _get(folder, f"state-{p}"), _get(folder, f"model-{p}")
-                i = np.flatnonzero((_place(held["words"], spread.value) == 0) & (_bin(held["count"]) >= words_least))
-                j = np.flatnonzero(_bin(model["value"]) >= pairs_least)
-                w = np.repeat(held["words"], held["lengths"])[j]
-                none = pa.nulls(len(i), pa.int64())
-                names = ["w", "v", "c", "x"]
-                yield pa.RecordBatch.from_arrays([pa.array(held["words"][i].view(np.int64)), none, pa.array(held["count"][i]), pa.array(model["r"][i])], names=names)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(held["v"][j].view(np.int64)), pa.array(held["c"][j]), pa.array(model["value"][j].astype(np.float64))], names=names)
+        d = m["d"][0]
+        for p, messages in _by_part(batches):
+            count, *roots = _answers(messages)
+            many, pairs = _get(folder, f"many-{p}"), _get(folder, f"pairs-{p}")
+            contexts, w_at, v_at, c = many["contexts"], pairs["w_at"], pairs["v_at"], pairs["c"].astype(np.float64)
+            strength = THETA + _override(contexts, m["spread"], many["customers"], m["spread_customers"])
+            t, passed_on = np.minimum(c, 1), np.zeros(len(c))
+            several = np.flatnonzero(c > 1)
+            t[several] = 0
+            for sample, r, spread_tables, root, base in zip(m["samples"], roots, m["sampled_tables"], m["sampled_root"], m["sampled_base"]):
+                own = _get(folder, f"tables-{p}-{sample}").astype(np.int64)
+                t[several] += own / len(roots)
+                sizes = many["v_ones"] + np.bincount(many["v_at"], weights=own, minlength=len(contexts))
+                weight = (THETA + d * _override(contexts, m["spread"], sizes, spread_tables)) / strength
+                passed_on += weight[v_at] * (r.astype(np.float64) / root + base)[w_at] / len(roots)
+            score = np.log10((c - d * t) / strength[v_at] + passed_on)
+            del t, passed_on, c, strength, several
+            held = _get(folder, f"tokens-{p}")
+            pair = np.repeat(np.arange(len(score)), pairs["n"])
+            docs, at = np.unique((held["window"].astype(np.int64) << 32) | held["place"], return_inverse=True)
+            sums = [np.bincount(at, minlength=len(docs))]
+            for x in (count > 0, np.log10(count + 0.1)):
+                sums.append(np.bincount(at, weights=x[w_at][pair], minlength=len(docs)))
+            sums.append(np.bincount(at, weights=score[pair], minlength=len(docs)))
+            bounds = np.searchsorted(docs >> 32, np.arange(len(held["windows"]) + 1)).tolist()
+            homes = _range(mix64(np.array(held["windows"], np.int64).view(np.uint64)), parts).tolist()
+            rows = []
+            for home, window, i, j in zip(homes, held["windows"], bounds[:-1], bounds[1:]):
+                rows.append((home, 1, window, p, _dump((docs[i:j] & 0xFFFFFFFF), _narrow(sums[0][i:j]), _narrow(sums[1][i:j].astype(np.int64)), sums[2][i:j], sums[3][i:j])))
+            yield _messages(rows)
 
     return tidy(run)
 
 
-def _score(model, parts: int):
-    """Per text its sums over tokens whose numbers are at hand (kind 2), and the other tokens to their parts (kind 1).
-
-    Of such a token there are the text's key, the word, the context, and whether the word's own numbers are missing too.
-    """
+def _documents(folder: str):
+    """The documents that the parts (p) keep for windows, as messages to these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        far, near, size = [], [], 0
-
-        def flush():
-            keys, lengths, tokens, before, unknown = (np.concatenate(x) for x in zip(*far))
-            order, p = _part(tokens, before, m["spread"], parts)
-            columns = [np.repeat(keys, lengths)[order], tokens[order], before[order], unknown[order]]
-            out = _messages([*((q, 1, 0, raw) for q, raw in _pack(p, columns)), *((int(_range(np.array([keys_]), parts)[0]), 2, 0, raw) for keys_, raw in near)])
-            far.clear(), near.clear()
-            return out
-
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            for a, b, data, offsets in text_chunks(texts):
-                tokens, before, begin = tokens_of(data, offsets)
-                n = b - a
-                owner = np.repeat(np.arange(n), np.diff(begin))
-                raw, bounds = data.tobytes(), offsets.tolist()
-                keys = np.array(
-                    [xxhash.xxh3_64_intdigest(raw[bounds[i] : bounds[i + 1]], seed=hash(ids[a + i].as_py()) & 0xFFFFFFFF) for i in range(n)], np.uint64
-                )
-                word = m["words"].place(tokens)
-                u = np.append(0, m["context_of"][word[:-1]])
-                u[begin[:-1]] = m["context_of"][-1]
-                pair = np.zeros(len(tokens), np.int64)
-                inside = np.flatnonzero((u > 0) & (word > 0))
-                pair[inside] = m["pairs"].place(pair_key(tokens[inside], before[inside]))
-                here = pair > 0
-                i, j, k = word[here] - 1, u[here] - 1, pair[here] - 1
-                p = np.ones(len(tokens))
-                p[here] = m["vs"][k] * m["inverse"][j] + m["weight"][j] * m["p0"][i]
-                base = np.zeros(len(tokens))
-                base[word > 0] = np.log10(m["c"][word[word > 0] - 1] + 0.1)
-                sums = lambda x: np.bincount(owner, weights=x, minlength=n)
-                own = ids.slice(a, n)
-                columns = [keys, own.fill_null(0).to_numpy(zero_copy_only=False), own.is_null().to_numpy(zero_copy_only=False), np.diff(begin), sums(word > 0), sums(base), sums(np.log10(p))]
-                near.append((keys[0], b"".join(c.astype(t).tobytes() for c, t in zip(columns, NEAR))))
-                rest = np.flatnonzero(~here)
-                far.append((keys, np.bincount(owner[rest], minlength=n), tokens[rest], before[rest], word[rest] == 0))
-                size += len(tokens)
-                if size >= WINDOW_TOKENS:
-                    yield flush()
-                    size = 0
-        if near:
-            yield flush()
+            for p in batch.column("p").to_pylist():
+                yield _messages([(p, 0, window, 0, data) for window, data in _get(folder, f"documents-{p}", [])])
 
     return tidy(run)
 
 
-NEAR = [np.uint64, np.int64, bool, np.int64, np.float64, np.float64, np.float64]
-SUMS = "key long, local boolean, doc_id long, n long, known double, base double, score double, v long"
-
-
-def _sums(batch: dict, n: int) -> pa.RecordBatch:
-    names = [x.split()[0] for x in SUMS.split(", ")]
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([batch.get(c) if isinstance(batch.get(c), pa.Array) else pa.array(batch[c], t) if c in batch else pa.nulls(n, t) for c, t in zip(names, types)], names=names)
-
+SUMS = "doc_id long, n_tokens long, n_known long, base double, score double"
 
-def _far(folder: str, model):
-    """Sums by text over the tokens sent to a part; a row with v for each token whose context's weight isn't known there."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for p, messages in _by_part(batches):
-            of = {k: [x[2] for x in messages if x[0] == k] for k in range(3)}
-            del messages
-            for raw in of[2]:
-                keys, ids, null, n, known, base, score = _columns([raw], NEAR)
-                yield _sums({"key": keys.view(np.int64), "local": np.ones(len(keys), bool), "doc_id": pa.array(ids, mask=null), "n": n, "known": known, "base": base, "score": score}, len(keys))
-            if not of[1]:
-                continue
-            if of[0]:
-                inverse, weight = _columns(of[0], [np.float64, np.float64])
-                held, trained = _get(folder, f"state-{p}"), _get(folder, f"model-{p}")
-                words, contexts = held["words"], np.unique(held["v"])
-                pairs = mix64(pair_key(np.repeat(words, held["lengths"]), held["v"]))  # mixed: those of frequent words are a range
-                by = np.argsort(pairs)
-                pairs, values = pairs[by], trained["value"][by]
-                count, r = held["count"].astype(np.float64), trained["r"]
+@tidy
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document: its sums over all parts."""
+    for _, messages in _by_part(batches):
+        held = {}
+        for kind, window, _, data in messages:
+            if kind == 0:
+                ids, null, lengths = _load(data)
+                held[window] = (ids, null, lengths, np.zeros((4, len(ids))))
             else:
-                words = contexts = pairs = np.empty(0, np.uint64)
-                inverse = weight = values = count = r = np.empty(0)
-            of[0] = held = trained = by = None
-            tables = [Table(x) for x in (words, contexts, pairs)]
-            while of[1]:
-                k = int(np.searchsorted(np.cumsum([len(x) for x in of[1]]), FAR_BYTES)) + 1
-                some, of[1] = of[1][:k], of[1][k:]
-                keys, w, v, unknown = _unpack(some, [np.uint64, np.uint64, np.uint64, bool])
-                word, u, pair = (table.place(x) for table, x in zip(tables, (w, v, mix64(pair_key(w, v)))))
-                many = _place(w, m["spread"])
-                c, root = np.zeros(len(w)), np.zeros(len(w))
-                c[word > 0], root[word > 0] = count[word[word > 0] - 1], r[word[word > 0] - 1]
-                c[many > 0], root[many > 0] = m["spread_c"][many[many > 0] - 1], m["spread_r"][many[many > 0] - 1]
-                p0 = root / m["root"] + m["base"]
-                x = p0.copy()
-                x[u > 0] *= weight[u[u > 0] - 1]
-                x[pair > 0] += values[pair[pair > 0] - 1] * inverse[u[pair > 0] - 1]
-                texts, owner = np.unique(keys, return_inverse=True)
-                sums = lambda x: np.bincount(owner, weights=x, minlength=len(texts))
-                out = {"known": sums(unknown & (c > 0)), "base": sums(np.where(unknown, np.log10(c + 0.1), 0.0)), "score": sums(np.log10(x))}
-                yield _sums({"key": texts.view(np.int64), "local": np.zeros(len(texts), bool), **out}, len(texts))
-                ask = np.flatnonzero(u == 0)
-                yield _sums({"key": keys[ask].view(np.int64), "local": np.zeros(len(ask), bool), "v": v[ask].view(np.int64)}, len(ask))
-
-    return tidy(run)
+                docs, *sums = _load(data)
+                held[window][3][:, docs] += sums
+        for ids, null, lengths, (n, known, base, score) in held.values():
+            if (n != lengths).any():
+                raise ValueError("tokens are missing: a task that ran twice gave other windows")
+            columns = [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base", "score"])
 
 
 def _forget(spark: SparkSession) -> None:
@@ -568,164 +601,81 @@ def _forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-class PitmanYorModel:
-    """A model trained on the texts of `train`: a state file and a message with context weights a part, the rest is of bounded size."""
-
-    def __init__(self, train: DataFrame, share: float = SPREAD_SHARE):
-        self.spark = train.sparkSession
-        sc = self.spark.sparkContext
-        texts = train.select("text")
-        seen = texts.mapInArrow(_frequent(share), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-        total = seen.filter("h is null").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().n
-        heads = seen.filter((F.col("h").isNotNull()) & (F.col("c") >= 0.9 * share * total)).select("h").collect()
-        self.spread = np.sort(np.array([r.h for r in heads], np.int64).view(np.uint64))
-        spread = sc.broadcast(self.spread)
-        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        self.parts = parts = 4 + size // PART_BYTES
-        self.folder = folder = fresh_path(self.spark, "model")
-
-        asked = _dealt(texts.mapInArrow(_counts(parts, spread), MESSAGE), parts).mapInArrow(_merge(folder, parts, spread), MESSAGE)
-        tables = materialize(_dealt(asked, parts).mapInArrow(_answer(1), MESSAGE), "dishes")
-        del asked
-        _forget(self.spark)
-        found = _stats(folder, "counted", parts)
-        zero = np.zeros((2, len(self.spread)))
-        several = sum((f["several"] for f in found), zero)
-        root = sum((f["root"] for f in found), np.zeros(4)) + [len(self.spread), several[0].sum(), (several[0] == 1).sum(), (several[0] == 2).sum()]
-        dishes = sum((f["dishes"] for f in found), np.zeros(2))
-        self.tokens, self.words = sum(f["tokens"] for f in found), int(root[0])
-        discount = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.1, 0.95))
-        self.discounts = (discount(*dishes), discount(root[2], root[3]))
-        self.spread_c = several[1]
-
-        state = {"spread": self.spread, "discounts": self.discounts, "words": self.words, "tables": root[0], "customers": root[1]}
-        own = {f["p"]: f["several"][0] for f in found}
-        first = state | {"several": several[0], "own": own}
-        asked = _dealt(tables, parts).mapInArrow(_sweeps(folder, parts, sc.broadcast(first), (BURN_IN - 1, 1), False), MESSAGE)
-        tables = materialize(_dealt(asked, parts).mapInArrow(_answer(1), MESSAGE), "tables")
-        found = _stats(folder, "swept", parts)
-        shared = sum((f["shared"] for f in found), np.zeros((3, len(self.spread))))
-        totals = sum((f["root"] for f in found), np.zeros(2)) + [(shared[1] / np.maximum(shared[2], 1)).sum(), shared[0].sum()]
-        second = state | {"tables": totals[0], "customers": totals[1], "several": shared[0], "own": {f["p"]: f["shared"][0] for f in found}}
-
-        asked = _dealt(tables, parts).mapInArrow(_sweeps(folder, parts, sc.broadcast(second), (BURN_IN, SAMPLES), True), MESSAGE)
-        self.answers = materialize(_dealt(asked, parts).mapInArrow(_weights(self.discounts[0]), MESSAGE), "weights")
-        self.weights = self.answers.filter("kind = 1").mapInArrow(_context_rows, "v long, customers double, weight double")
-        found = _stats(folder, "averaged", parts)
-        shared = sum((f["shared"] for f in found), np.zeros((3, len(self.spread))))
-        self.spread_r = shared[0] - self.discounts[1] * shared[1] / np.maximum(shared[2], 1)
-        totals = sum((f["root"] for f in found), np.zeros(2)) + [(shared[1] / np.maximum(shared[2], 1)).sum(), shared[0].sum()]
-        self.root = THETA + totals[1]
-        self.base = (THETA + self.discounts[1] * totals[0]) / self.root / (self.words + 1)
-        self.sizes = tuple(sum((f[k] for f in found), np.zeros(501)) for k in ("word_sizes", "pair_sizes"))
-        self.trained = [f["p"] for f in found]
-        del asked, tables, seen
-        _forget(self.spark)
-
-    def _rows(self, words_least: int, pairs_least: int) -> DataFrame:
-        parts = self.spark.createDataFrame([(p,) for p in self.trained], "p int").repartition(max(len(self.trained), 1))
-        spread = self.spark.sparkContext.broadcast(self.spread)
-        return parts.mapInArrow(_entries(self.folder, spread, words_least, pairs_least), "w long, v long, c long, x double")
-
-    def at_hand(self) -> dict:
-        """The tables that scoring broadcasts: at most TABLE_ROWS words, pairs and contexts each, and the spread words' numbers."""
-        got = self._rows(*(_least(s, TABLE_ROWS) for s in self.sizes)).toArrow()
-        is_word = got.column("v").is_null().to_numpy()
-        w, c, x = (got.column(k).to_numpy() for k in ("w", "c", "x"))
-        v = got.column("v").fill_null(0).to_numpy().view(np.uint64)
-        few = len(self.spread) <= TABLE_ROWS
-        words = np.concatenate([w[is_word].view(np.uint64), self.spread[: few * len(self.spread)]])
-        order = np.argsort(words)
-        keys = pair_key(w[~is_word].view(np.uint64), v[~is_word])
-        by = np.argsort(keys)
-        size = F.least(F.floor(F.log2(F.greatest(F.col("customers"), F.lit(1.0))) * 8), F.lit(500))
-        sizes = np.zeros(501)
-        for r in self.weights.groupBy(size.alias("i")).count().collect():
-            sizes[r.i] = r["count"]
-        contexts = self.weights.filter(size >= _least(sizes, TABLE_ROWS)).toArrow()
-        h = contexts.column("v").to_numpy().view(np.uint64)
-        to = np.argsort(h)
-        # the context's place for each place of a word (the first: no word), and for the first token of a text
-        context_of = _place(np.concatenate([words[order], [BEGIN]]), h[to])
-        return {
-            "context_of": np.append(0, context_of),
-            "inverse": 1 / (THETA + contexts.column("customers").to_numpy()[to]),
-            "weight": contexts.column("weight").to_numpy()[to],
-            "words": Table(words[order]),
-            "c": np.concatenate([c[is_word], self.spread_c[: few * len(self.spread)]])[order],
-            "p0": np.concatenate([x[is_word], self.spread_r[: few * len(self.spread)]])[order] / self.root + self.base,
-            "pairs": Table(keys[by]),
-            "vs": x[~is_word][by],
-            "spread": self.spread,
-        }
-
-    def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_tokens, n_known, base_score, score of each row of (doc_id, text)."""
-        sc = self.spark.sparkContext
-        sent = docs.mapInArrow(_score(sc.broadcast(self.at_hand()), self.parts), MESSAGE).unionByName(self.answers.filter("kind = 0"))
-        few = {"spread": self.spread, "spread_c": self.spread_c, "spread_r": self.spread_r, "root": self.root, "base": self.base}
-        rows = _dealt(sent, self.parts).mapInArrow(_far(self.folder, sc.broadcast(few)), SUMS)
-        # rows that need no weight are joined by their key, so that they spread
-        ask = F.col("v").isNotNull()
-        rows = rows.withColumn("ask", ask).withColumn("v", F.coalesce("v", "key")).join(self.weights.select("v", "weight"), "v", "left")
-        rows = rows.withColumn("score", F.when(F.col("ask"), F.log10(F.coalesce("weight", F.lit(1.0)))).otherwise(F.col("score")))
-        sums = rows.groupBy("key").agg(
-            F.count_if("local").alias("copies"), F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"),
-            F.sum("known").cast("long").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"),
-        )
-        share = float(np.log10(self.tokens + 0.1 * (self.words + 1)))
-        out = sums.select(
-            "doc_id",
-            "n_tokens",
-            F.expr("known div copies").alias("n_known"),
-            (F.col("base") / F.col("copies") - F.col("n_tokens") * share).alias("base_score"),
-            (F.col("score") / F.col("copies")).alias("score"),
-            F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
-        )
-        return out.drop("copy")
-
-    # The whole model as arrays and rows, to look at small ones; scoring doesn't use them.
-
-    @property
-    def contexts(self) -> np.ndarray:
-        return np.sort(self.weights.select("v").toArrow().column("v").to_numpy().view(np.uint64))
-
-    def _by_context(self, column: Column, outside: float) -> np.ndarray:
-        got = self.weights.select("v", column.alias("x")).toArrow()
-        order = np.argsort(got.column("v").to_numpy().view(np.uint64))
-        return np.append(outside, got.column("x").to_numpy()[order])
-
-    @property
-    def inverse(self) -> np.ndarray:
-        return self._by_context(1 / (THETA + F.col("customers")), 0.0)
-
-    @property
-    def weight(self) -> np.ndarray:
-        return self._by_context(F.col("weight"), 1.0)
-
-    @property
-    def rows(self) -> DataFrame:
-        """w, r, us (places of contexts, from 1), vs."""
-        got, contexts = self._rows(0, 0).collect(), self.contexts
-        r = {x.w: x.x for x in got if x.v is None} | dict(zip(self.spread.view(np.int64).tolist(), self.spread_r.tolist()))
-        of = {w: ([], []) for w in r}
-        for x in got:
-            if x.v is not None:
-                of[x.w][0].append(int(_place(np.array([x.v]).view(np.uint64), contexts)[0]))
-                of[x.w][1].append(x.x)
-        return self.spark.createDataFrame([(w, r[w], *of[w]) for w in r], "w long, r double, us array<int>, vs array<double>")
+def pitman_yor(rows: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, share: float = SPREAD_SHARE) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity of each row (doc_id, text, learned).
+
+    The model learns from the rows that `learned` marks.
+    """
+    spark = rows.sparkSession
+    seen = materialize(rows.select("text").mapInArrow(_frequent(share), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
+    every = seen.filter("h is null").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().n
+    frequent = seen.filter(F.col("h").isNotNull() & (F.col("c") >= 0.9 * share * every)).select("h").collect()
+    spread = np.sort(np.array([r.h for r in frequent], np.int64).view(np.uint64))
+    parts, folder = 4 + every // PART_TOKENS, fresh_path(spark, "model")
+
+    def stage(messages: DataFrame, run, name: str) -> tuple[DataFrame, dict[str, int]]:
+        out = materialize(_dealt(messages, parts).mapInArrow(run, MESSAGE), name)
+        _forget(spark)
+        return out, _totals(out)
+
+    def of_spread(totals: dict, name: str) -> np.ndarray:
+        return np.array([totals.get(f"{name}{i + 1}", 0) for i in range(len(spread))], np.int64)
+
+    sent = rows.select("doc_id", "text", "learned").mapInArrow(_send(parts, spread), MESSAGE)
+    asked, totals = stage(sent, _join(folder, parts, spread), "asked")
+    del sent
+    _, of_words = stage(asked, _enrol(folder), "enrolled")
+    tokens, words = totals.get("tokens", 0), of_words.get("words", 0)
+    discount = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.1, 0.95))
+    d = (discount(totals.get("once", 0), totals.get("twice", 0)), discount(of_words.get("root_once", 0), of_words.get("root_twice", 0)))
+    m = {"d": d, "words": words, "spread": spread, "spread_customers": of_spread(totals, "customers"), "root_tables": words}
+    tables_of_spread, roots = [of_spread(totals, "tables")], []
+    sampled = list(range(burn_in, burn_in + samples))
+    for sweep in range(burn_in + samples + 1):
+        last = sweep == burn_in + samples
+        answers, root = stage(asked, _root(folder, m, sweep, [k + 1 for k in sampled] if last else None), "answers")
+        roots.append((root.get("customers", 0), root.get("tables", 0)))
+        m["root_tables"] = roots[-1][1]
+        if not last:
+            m |= {"mass": root.get("mass", 0) / 65536, "rest": rest_of_root(roots[-1][1], d[1], sweep), "spread_tables": tables_of_spread[-1]}
+            asked, totals = stage(answers, _contexts(folder, parts, dict(m), sweep), "asked")
+            tables_of_spread.append(of_spread(totals, "tables"))
+    m |= {
+        "samples": sampled,
+        "sampled_tables": [tables_of_spread[k + 1] for k in sampled],
+        "sampled_root": [THETA + roots[k + 1][0] for k in sampled],
+        "sampled_base": [(THETA + d[1] * roots[k + 1][1]) / (THETA + roots[k + 1][0]) / (words + 1) for k in sampled],
+    }
+    scored = _dealt(answers, parts).mapInArrow(_score(folder, parts, m), MESSAGE)
+    kept = spark.range(parts).select(F.col("id").cast("int").alias("p")).mapInArrow(_documents(folder), MESSAGE)
+    sums = _dealt(scored.unionByName(kept), parts).mapInArrow(_gather, SUMS)
+    share_ = float(np.log10(tokens + 0.1 * (words + 1)))
+    return sums.select(
+        "doc_id",
+        "n_tokens",
+        "n_known",
+        F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * share_).alias("base_score"),
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(10)) == 0, F.lit(True))
 
 
-def score_corpus(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = PitmanYorModel(rows.filter(~held_out(F.col("doc_id"))))
-    out = model.score(rows)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+def score_corpus(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("learned", ~held_out(F.col("doc_id")))
+    out = pitman_yor(rows, **options)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *out.columns[1:])
+
+
+def held_out_perplexity(scored: DataFrame) -> float | None:
+    """The perplexity of all held-out documents together."""
+    held = scored.filter("held_out").agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+    return 10 ** (-held.s / held.n) if held.n else None
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,8 @@ def test_language_model_on_the_table(spark, data):
     _check_base([(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()], got)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    n = sum(r.n_tokens for r in held)
+    assert abs(lm_scoring.held_out_perplexity(lm_scoring.score_corpus(table)) - 10 ** (-sum(r.score for r in held) / n)) < 1e-6 * 10 ** (-sum(r.score for r in held) / n)
 
 
 def test_language_model_on_tricky_rows(spark):
@@ -255,50 +257,134 @@ def test_language_model_on_tricky_rows(spark):
     assert lm_scoring.score_corpus(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 5, 0])
-def test_probabilities_sum_to_one_whatever_is_at_hand(spark, monkeypatch, limit):
-    monkeypatch.setattr(lm_scoring, "TABLE_ROWS", limit)
-    rng = random.Random(0)
-    words = ["aa", "bb", "cc", "dd", "ee"]
-    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(60)]
-    model = lm_scoring.PitmanYorModel(docs(spark, list(enumerate(texts))).select("text"), share=0.05)
-    assert len(model.contexts) == 6 and model.tokens == sum(len(_tokens(t)) for t in texts) and model.words == 6
-    # the empty text is the end token alone, so the first tokens' probabilities sum to 1 with it
-    got = {r.doc_id: 10**r.score for r in model.score(docs(spark, [(0, ""), (1, "aa"), (2, "zz"), (3, "aa zz")]).select("doc_id", "text")).collect()}
-    end = lm_scoring.END
-    for i, (text, path) in enumerate([("", [(lm_scoring.BEGIN, end)]), ("aa", [(lm_scoring.BEGIN, "aa"), ("aa", end)]), ("zz", [(lm_scoring.BEGIN, "zz"), ("zz", end)]), ("aa zz", [(lm_scoring.BEGIN, "aa"), ("aa", "zz"), ("zz", end)])]):
-        assert abs(got[i] - np.prod([_chance(model, *p) for p in path])) < 1e-9, text
-    for context in (lm_scoring.BEGIN, "aa", "zz"):
-        assert abs(sum(_chance(model, context, w) for w in [*words, end, "zz"]) - 1) < 1e-6
-
-
-def _hash(token):
-    if not isinstance(token, str):
-        return token
-    return lm_scoring.word_hashes(np.frombuffer(token.encode(), np.uint8), np.array([0]), np.array([len(token)]))[0]
-
-
-def _chance(model, context, token):
-    """P(token | context), straight from the model's rows."""
-    row = model.rows.filter(F.col("w") == int(_hash(token).view(np.int64))).first()
-    u = int(lm_scoring._place(np.array([_hash(context)]), model.contexts)[0])
-    r, v = (row.r, dict(zip(row.us, row.vs)).get(u, 0.0) if u else 0.0) if row else (0.0, 0.0)
-    return v * model.inverse[u] + model.weight[u] * (r / model.root + model.base)
+def _sequential_gibbs(counts, d, sweeps, rng, burn_in=200):
+    """Averaged predictive probabilities {(context, word): p} by the textbook sampler, one customer at a time."""
+    words = sorted({w for _, w in counts})
+    v = len(words)
+    seats = {pair: [] for pair in counts}
+    root = {w: [] for w in words}
+
+    def p0(w):
+        tables, customers = sum(map(len, root.values())), sum(map(sum, root.values()))
+        return (sum(root[w]) - d[1] * len(root[w]) + (1 + d[1] * tables) / (v + 1)) / (1 + customers)
+
+    def sit(tables, weight_new, discount):
+        """Seat one customer; returns whether at a new table."""
+        x = rng.random() * (sum(tables) - discount * len(tables) + weight_new)
+        for i, n in enumerate(tables):
+            x -= n - discount
+            if x < 0:
+                tables[i] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        x = rng.randrange(sum(tables))
+        for i, n in enumerate(tables):
+            x -= n
+            if x < 0:
+                tables[i] -= 1
+                if not tables[i]:
+                    del tables[i]
+                    return True
+                return False
+
+    def root_new():
+        return (1 + d[1] * sum(map(len, root.values()))) / (v + 1)
+
+    def add(u, w):
+        weight = (1 + d[0] * sum(len(t) for (x, _), t in seats.items() if x == u)) * p0(w)
+        if sit(seats[u, w], weight, d[0]):
+            sit(root[w], root_new(), d[1])
+
+    total = {}
+    for sweep in range(-1, sweeps):
+        for (u, w), c in counts.items():
+            for _ in range(c):
+                if sweep >= 0 and leave(seats[u, w]):
+                    leave(root[w])
+                add(u, w)
+        if sweep >= burn_in:
+            for u in {u for u, _ in counts}:
+                own = {w: t for (x, w), t in seats.items() if x == u}
+                c, t = sum(map(sum, own.values())), sum(map(len, own.values()))
+                for w in words:
+                    p = (sum(own.get(w, [])) - d[0] * len(own.get(w, [])) + (1 + d[0] * t) * p0(w)) / (1 + c)
+                    total[u, w] = total.get((u, w), 0) + p / (sweeps - burn_in)
+    return total
+
+
+def test_sweeps_against_a_sequential_sampler():
+    counts = {(0, 0): 3, (0, 1): 2, (0, 2): 1, (1, 0): 4, (1, 3): 2, (2, 4): 1, (2, 0): 2, (2, 1): 6, (3, 5): 40, (3, 0): 3}
+    d, v, sweeps, burn_in = (0.6, 0.4), 6, 4000, 200
+    want = _sequential_gibbs(counts, d, 2500, random.Random(1))
+    at, w = (np.array(x) for x in zip(*counts))
+    c = np.array(list(counts.values()))
+    keys, contexts, words = (common.mix64(np.arange(n, dtype=np.uint64) + np.uint64(1)) for n in (len(c), 4, v))
+    seatings = [lm_scoring.log_seatings(x) for x in d]
+    t, t0, p = np.ones(len(c), np.int64), np.ones(v, np.int64), np.zeros((4, v))
+    customers = np.bincount(at, weights=c)
+    dense = np.zeros((4, v))
+    for sweep in range(sweeps):
+        c0 = np.bincount(w, weights=t, minlength=v).astype(np.int64)
+        t0, mass = lm_scoring.sweep_root(c0, t0, int(t0.sum()), v, d[1], seatings[1], words, sweep)
+        if sweep > burn_in:  # the sample of the sweep before: its seats and the root that goes with them
+            p0 = (c0 - d[1] * t0 + (1 + d[1] * t0.sum()) / (v + 1)) / (1 + c0.sum())
+            dense[:] = 0
+            dense[at, w] = c - d[0] * t
+            p += (dense + (1 + d[0] * np.bincount(at, weights=t))[:, None] * p0) / (1 + customers)[:, None] / (sweeps - burn_in - 1)
+        rest = lm_scoring.rest_of_root(int(t0.sum()), d[1], sweep)
+        g_root = (mass / 65536 + rest / (v + 1)) / (mass.sum() / 65536 + rest)
+        sizes = np.bincount(at, weights=t).astype(np.int64)
+        t = lm_scoring.sweep_contexts(c, at, t, sizes, g_root[w], d[0], seatings[0], keys, contexts, sweep)
+        assert (t >= 1).all() and (t <= c).all()
+    for (u, word), x in want.items():
+        assert abs(p[u, word] - x) < 0.02 * x + 0.002, (u, word)
+    # what is left is the chance of a word never seen
+    assert (p.sum(axis=1) < 1).all() and (p.sum(axis=1) > 0.8).all()
+
+
+def test_few_and_many_customers_are_drawn_alike(monkeypatch):
+    """Metropolis and Hastings' rule gives the distribution that the weights of seatings give."""
+    n, d, log_a = 4000, 0.7, np.log(3.0)
+    c, keys, seatings = np.full(n, 20), common.mix64(np.arange(n, dtype=np.uint64) + np.uint64(9)), lm_scoring.log_seatings(0.7)
+    exact = lm_scoring.tables(c, np.full(n, log_a), np.ones(n, np.int64), d, seatings, keys, 1)
+    monkeypatch.setattr(lm_scoring, "FEW", 1)
+    t = np.ones(n, np.int64)
+    for sweep in range(12):
+        t = lm_scoring.tables(c, np.full(n, log_a), t, d, seatings, keys, sweep)
+    assert abs(t.mean() - exact.mean()) < 0.1 and abs(t.std() - exact.std()) < 0.1
+
+
+def test_random_numbers():
+    keys = common.mix64(np.arange(50_000, dtype=np.uint64))
+    for shape in (0.3, 1.0, 7.5):
+        g = lm_scoring.gamma(np.full(len(keys), shape), keys, 4)
+        assert abs(g.mean() - shape) < 0.03 * shape + 0.01 and abs(g.var() - shape) < 0.06 * shape + 0.02
+    x = np.array([0.01, 0.5, 1, 3.3, 7, 120, 1e6])
+    assert np.allclose(lm_scoring.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
+    assert (lm_scoring.tables(np.array([0, 1, 500, 100_000]), np.log(np.array([1, 1, 1e-4, 50.0])), np.ones(4, np.int64), 0.8, lm_scoring.log_seatings(0.8), keys[:4], 0) <= [0, 1, 500, 100_000]).all()
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, data, monkeypatch):
+    table = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    table = spark.createDataFrame(table.toArrow())
+    few = {r.doc_id: (r.score, r.base_score) for r in lm_scoring.score_corpus(table.repartition(4), burn_in=1, samples=2).collect()}
+    monkeypatch.setattr(lm_scoring, "PART_TOKENS", 2000)
+    monkeypatch.setattr(lm_scoring, "WINDOW_TOKENS", 700)
+    other = {r.doc_id: (r.score, r.base_score) for r in lm_scoring.score_corpus(table.repartition(9), burn_in=1, samples=2, share=0.02).collect()}
+    assert few.keys() == other.keys() and all(np.allclose(few[i], other[i], rtol=1e-9) for i in few)
 
 
 def test_every_context_has_a_restaurant(spark):
     """Contexts far below a thousandth of the tokens are told apart, as are their next words."""
     texts = [" ".join(f"x{i * 40 + j} y{i * 40 + j}" for j in range(40)) for i in range(100)]
-    model = lm_scoring.PitmanYorModel(docs(spark, list(enumerate(texts))).select("text"))
-    assert len(model.contexts) == 8001 and model.tokens == 8100
-    got = {r.doc_id: r.score for r in model.score(docs(spark, [(0, "x777 y777"), (1, "x777 y778"), (2, "y777 y777")]).select("doc_id", "text")).collect()}
-    assert got[0] > got[1] + 1 and got[0] > got[2] + 1
-
-
-def test_seating_keeps_bounds():
-    c = np.array([1, 2, 5, 1000, 0], float)
-    t = lm_scoring.seat(c, np.full(5, 0.1), np.full(5, 10.0), 0.7, np.random.default_rng(0))
-    assert (t <= c).all() and (t[c > 0] >= 1).all() and t[4] == 0
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(1000, "x777 y777", False), (1001, "x777 y778", False), (1002, "y777 y777", False)]
+    got = {r.doc_id: r for r in lm_scoring.pitman_yor(spark.createDataFrame(rows, "doc_id long, text string, learned boolean"), 1, 1).collect()}
+    assert got[0].train_tokens == 8100 and len(got) == 103
+    assert got[1000].score > got[1001].score + 1 and got[1000].score > got[1002].score + 1
+    assert abs(got[1000].perplexity - 10 ** (-got[1000].score / 3)) < 1e-6 * got[1000].perplexity
 
 
 # --- token counts --------------------------------------------------------------------------------------------------------
