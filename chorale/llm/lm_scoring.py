@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from chorale.llm.common import LOWER, SPACE_WORDS, STEP, fresh_path, materialize, mix64, read_table, scan_words, text_chunks, tidy, word_hashes
 
 SPREAD_SHARE = 1 / 1000
-PART_TOKENS, WINDOW_TOKENS = 4 << 20, 2 << 20
+PART_TOKENS, WINDOW_TOKENS = 4 << 20, 3 << 20
 THETA = 1.0
 BURN_IN, SAMPLES = 2, 3
 FEW = 32
@@ -247,15 +247,27 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 
 
 def _dump(*arrays: np.ndarray) -> bytes:
-    return b"".join(x for a in arrays for x in (struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)), a.tobytes()))
+    """Arrays as bytes: sorted natural numbers by their differences, then byte by byte of all numbers, compressed."""
+    codec, out = pa.Codec("zstd", 1), []
+    for a in arrays:
+        sorted_ = a.dtype.kind == "u" and bool((a[1:] >= a[:-1]).all())
+        if sorted_:
+            a = np.diff(a, prepend=a.dtype.type(0))
+        body = codec.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes(), asbytes=True)
+        out += [struct.pack("<2s?qq", a.dtype.str[1:].encode(), sorted_, len(a), len(body)), body]
+    return b"".join(out)
 
 
 def _load(raw: bytes) -> list[np.ndarray]:
-    out, at = [], 0
+    """What _dump made bytes of."""
+    codec, out, at, header = pa.Codec("zstd"), [], 0, struct.calcsize("<2s?qq")
     while at < len(raw):
-        kind, n = struct.unpack_from("<2sq", raw, at)
-        out.append(np.frombuffer(raw, np.dtype(kind.decode()), n, at + 10))
-        at += 10 + out[-1].nbytes
+        kind, sorted_, n, size = struct.unpack_from("<2s?qq", raw, at)
+        kind, at = np.dtype(kind.decode()), at + header
+        body = codec.decompress(raw[at : at + size], n * kind.itemsize, asbytes=True)
+        a = np.ascontiguousarray(np.frombuffer(body, np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n)
+        out.append(np.cumsum(a, dtype=kind) if sorted_ else a)
+        at += size
     return out
 
 
@@ -293,23 +305,23 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield p, held
 
 
-def _put(folder: str, name: str, value) -> None:
+def _put(folder: str, name: str, value: dict) -> None:
     """Write a part's state; a repeated task puts the same in its place."""
     fs, base = pafs.FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
     own = f"{base}/{uuid.uuid4().hex}"
-    with fs.open_output_stream(own, compression="lz4") as out:
-        out.write(pickle.dumps(value, protocol=5))
+    with fs.open_output_stream(own, compression=None) as out:
+        pickle.dump({k: (isinstance(v, np.ndarray), _dump(v) if isinstance(v, np.ndarray) else v) for k, v in value.items()}, out, protocol=5)
     fs.move(own, f"{base}/{name}")
 
 
-def _get(folder: str, name: str, missing=None):
+def _get(folder: str, name: str, missing: dict | None = None) -> dict:
     """What was put there; `missing` for parts that had nothing to keep."""
     fs, base = pafs.FileSystem.from_uri(folder)
     if missing is not None and fs.get_file_info(f"{base}/{name}").type != pafs.FileType.File:
         return missing
-    with fs.open_input_stream(f"{base}/{name}", compression="lz4") as f:
-        return pickle.loads(f.read())
+    with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
+        return {k: _load(v)[0] if packed else v for k, (packed, v) in pickle.load(f).items()}
 
 
 # --- the stages ----------------------------------------------------------------------------------------------------------
@@ -371,7 +383,9 @@ def _send(parts: int, spread: np.ndarray):
         task = TaskContext.get().partitionId()
 
         def flush():
-            return _messages(_window(*(np.concatenate(x) for x in zip(*held)), (task << 24) + n, parts, spread))
+            columns = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            return _messages(_window(*columns, (task << 24) + n, parts, spread))
 
         for batch in batches:
             ids, learned = batch.column("doc_id"), batch.column("learned").to_numpy(zero_copy_only=False)
@@ -382,7 +396,7 @@ def _send(parts: int, spread: np.ndarray):
                 size += len(tokens)
                 if size >= WINDOW_TOKENS:
                     yield flush()
-                    held, size, n = [], 0, n + 1
+                    size, n = 0, n + 1
         if held:
             yield flush()
 
@@ -406,7 +420,7 @@ def _join(folder: str, parts: int, spread: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, messages in _by_part(batches):
-            _put(folder, f"documents-{p}", [(source, data) for kind, source, _, data in messages if kind == 1])
+            _put(folder, f"documents-{p}", {"windows": [(source, data) for kind, source, _, data in messages if kind == 1]})
             held, windows = [], []
             for kind, source, _, data in messages:
                 if kind == 0:
@@ -513,11 +527,11 @@ def _contexts(folder: str, parts: int, m: dict, sweep: int):
             held = _get(folder, f"many-{p}")
             words, contexts, w_at, v_at, c = (held[k] for k in ("words", "contexts", "w_at", "v_at", "c"))
             g_root = (mass + m["rest"] / (m["words"] + 1)) / (m["mass"] + m["rest"])
-            t = _get(folder, f"tables-{p}-{sweep - 1}").astype(np.int64) if sweep else np.ones(len(c), np.int64)
+            t = _get(folder, f"tables-{p}-{sweep - 1}")["t"].astype(np.int64) if sweep else np.ones(len(c), np.int64)
             per = lambda at, x, ones: ones + np.bincount(at, weights=x, minlength=len(ones)).astype(np.int64)
             sizes = _override(contexts, m["spread"], per(v_at, t, held["v_ones"]), m["spread_tables"])
             t = sweep_contexts(c, v_at, t, sizes, g_root[w_at], m["d"][0], seatings, pair_key(words[w_at], contexts[v_at]), contexts, sweep)
-            _put(folder, f"tables-{p}-{sweep}", _narrow(t))
+            _put(folder, f"tables-{p}-{sweep}", {"t": _narrow(t)})
             sizes = per(v_at, t, held["v_ones"])
             yield _messages(_to_words(p, words, parts, [_narrow(per(w_at, t, held["w_ones"]))]) + _spread_counts("tables", contexts, m["spread"], sizes))
 
@@ -538,7 +552,7 @@ def _score(folder: str, parts: int, m: dict):
             several = np.flatnonzero(c > 1)
             t[several] = 0
             for sample, r, spread_tables, root, base in zip(m["samples"], roots, m["sampled_tables"], m["sampled_root"], m["sampled_base"]):
-                own = _get(folder, f"tables-{p}-{sample}").astype(np.int64)
+                own = _get(folder, f"tables-{p}-{sample}")["t"].astype(np.int64)
                 t[several] += own / len(roots)
                 sizes = many["v_ones"] + np.bincount(many["v_at"], weights=own, minlength=len(contexts))
                 weight = (THETA + d * _override(contexts, m["spread"], sizes, spread_tables)) / strength
@@ -568,7 +582,7 @@ def _documents(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in batch.column("p").to_pylist():
-                yield _messages([(p, 0, window, 0, data) for window, data in _get(folder, f"documents-{p}", [])])
+                yield _messages([(p, 0, window, 0, data) for window, data in _get(folder, f"documents-{p}", {"windows": []})["windows"]])
 
     return tidy(run)
 
@@ -615,15 +629,14 @@ def pitman_yor(rows: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES,
 
     def stage(messages: DataFrame, run, name: str) -> tuple[DataFrame, dict[str, int]]:
         out = materialize(_dealt(messages, parts).mapInArrow(run, MESSAGE), name)
+        del messages  # callers hold no other reference
         _forget(spark)
         return out, _totals(out)
 
     def of_spread(totals: dict, name: str) -> np.ndarray:
         return np.array([totals.get(f"{name}{i + 1}", 0) for i in range(len(spread))], np.int64)
 
-    sent = rows.select("doc_id", "text", "learned").mapInArrow(_send(parts, spread), MESSAGE)
-    asked, totals = stage(sent, _join(folder, parts, spread), "asked")
-    del sent
+    asked, totals = stage(rows.select("doc_id", "text", "learned").mapInArrow(_send(parts, spread), MESSAGE), _join(folder, parts, spread), "asked")
     _, of_words = stage(asked, _enrol(folder), "enrolled")
     tokens, words = totals.get("tokens", 0), of_words.get("words", 0)
     discount = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.1, 0.95))
