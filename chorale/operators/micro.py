@@ -180,14 +180,38 @@ def separation_gap(real: DataFrame, null: DataFrame, keys: list[str], column: st
 # --- semantic grounding --------------------------------------------------------------------------------------------------
 
 
-def similarities(utterances: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, utterance_id, unit_ord, unit_ref, sim): dot products of unit vectors of utterances and norm units.
+def unit_blocks(units: DataFrame, keys: list[str], size: int = 512) -> DataFrame:
+    """(keys, block, units): the norm units in arrays of about `size`."""
+    n = units.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
+    rows = units.join(n, keys) if keys else units.crossJoin(F.broadcast(n))  # one row
+    block = F.pmod(F.xxhash64("unit_ord"), F.col("blocks"))
+    return rows.groupBy(*keys, block.alias("block")).agg(F.collect_list(F.struct("unit_ord", "unit_ref", "vector")).alias("units"))
 
-    A policy has some hundreds of norm units; every utterance is compared with those of its policy.
+
+def similarities(utterances: DataFrame, units: DataFrame, keys: list[str], skip: int = 3, take: int = 5, seed: int = 20240612, block: int = 512) -> DataFrame:
+    """(keys, utterance_id, unit_ord, unit_ref, sim, draw): of the dot products of unit vectors those that `semantic_top1` and `coherent_null` need.
+
+    An utterance meets the units of its policy in blocks and keeps of each block its skip most similar units and the
+    skip + take first by draw, md5(seed:utterance:unit): whatever the skip best of all units are, the `take` first of the
+    others are among them. So rows grow with utterances times blocks, not with pairs.
     """
-    u, n = utterances.select(*keys, "utterance_id", "vector"), units.select(*keys, "unit_ord", "unit_ref", F.col("vector").alias("unit_vector"))
-    pairs = u.join(n, keys) if keys else u.crossJoin(n)
-    return pairs.select(*keys, "utterance_id", "unit_ord", "unit_ref", T.dot(F.col("vector"), F.col("unit_vector")).alias("sim"))
+    blocks = unit_blocks(units, keys, block)
+    u = utterances.select(*keys, "utterance_id", "vector")
+    met = u.join(blocks, keys) if keys else u.crossJoin(blocks)
+    text = F.col("utterance_id").cast("string")
+    near = F.transform(
+        "units",
+        lambda x: F.struct(
+            T.dot(F.col("vector"), x["vector"]).alias("sim"), (-x["unit_ord"]).alias("o"), x["unit_ref"].alias("unit_ref"),
+            F.md5(F.concat_ws(":", F.lit(str(seed)), text, x["unit_ord"].cast("string"))).alias("draw"),
+        ),
+    )
+    met = met.select(*keys, "utterance_id", near.alias("near"))
+    best = F.slice(F.sort_array("near", asc=False), 1, max(skip, 1))
+    by_draw = F.array_sort(F.transform("near", lambda x: F.struct(x["draw"].alias("draw"), (-x["o"]).alias("unit_ord"), x.alias("row"))))
+    drawn = F.transform(F.slice(by_draw, 1, skip + take), lambda x: x["row"])
+    kept = met.select(*keys, "utterance_id", F.explode(F.array_distinct(F.concat(best, drawn))).alias("x"))
+    return kept.select(*keys, "utterance_id", (-F.col("x.o")).alias("unit_ord"), "x.unit_ref", "x.sim", "x.draw")
 
 
 def semantic_top1(sims: DataFrame, keys: list[str]) -> DataFrame:
@@ -196,15 +220,14 @@ def semantic_top1(sims: DataFrame, keys: list[str]) -> DataFrame:
     return sims.groupBy(*keys, "utterance_id").agg(best).select(*keys, "utterance_id", F.col("b.sim").alias("sem_max_cosine"), F.col("b.unit_ref").alias("top1_norm_ref"))
 
 
-def coherent_null(sims: DataFrame, keys: list[str], seed: int = 20240612, skip: int = 3, take: int = 5) -> DataFrame:
-    """(keys, utterance_id, unit_ord, value): per utterance up to `take` units drawn from those beyond its `skip` best.
+def coherent_null(sims: DataFrame, keys: list[str], skip: int = 3, take: int = 5) -> DataFrame:
+    """(keys, utterance_id, unit_ord, value): per utterance the `take` units first by draw of those beyond its `skip` best.
 
-    The draw goes by md5(seed:utterance:unit), so that any engine repeats it. With `skip` units or fewer there are none.
+    skip and take are those of `similarities`. With `skip` units or fewer there are none.
     """
     w = W.partitionBy(*keys, "utterance_id")
     rest = sims.withColumn("rank", F.row_number().over(w.orderBy(F.desc("sim"), "unit_ord"))).filter(F.col("rank") > skip)
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("utterance_id").cast("string"), F.col("unit_ord").cast("string")))
-    drawn = rest.withColumn("draw", F.row_number().over(w.orderBy(draw, "unit_ord"))).filter(F.col("draw") <= take)
+    drawn = rest.withColumn("place", F.row_number().over(w.orderBy("draw", "unit_ord"))).filter(F.col("place") <= take)
     return drawn.select(*keys, "utterance_id", "unit_ord", F.col("sim").alias("value"))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from chorale.functions import cues
 from chorale.functions import text as T
-from chorale.operators import micro, sampling
+from chorale.operators import micro, reliability, sampling
+from chorale.sources.storage import cut
 
 POOL = ["pool_component", "axis", "utterance_id", "machine_note"]
 
@@ -93,3 +94,62 @@ def violation_pool(pools: list[DataFrame], labels: DataFrame, formatted: DataFra
 
 def component_counts(pool: DataFrame) -> DataFrame:
     return pool.groupBy("pool_component").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- components and tables from earlier work ---------------------------------------------------------------------------
+
+
+def _existing(rows: DataFrame, component: str, axis: str, note: list[str]) -> DataFrame:
+    parts = [F.concat(F.lit(f"{label}="), F.coalesce(F.col(column).cast("string"), F.lit(""))) for label, column in (n.split(":") for n in note)]
+    return rows.select(F.lit(component).alias("pool_component"), F.lit(axis).alias("axis"), "utterance_id", F.concat_ws("; ", *parts).alias("machine_note"))
+
+
+def violation_diff_component(rows: DataFrame) -> DataFrame:
+    """A component of the boundary pool from an earlier table (utterance_id, status, pre_reason, post_reason)."""
+    return _existing(rows, "violation_diff_existing18", "violation", ["status:status", "pre:pre_reason", "post:post_reason"])
+
+
+def grounding_component(rows: DataFrame) -> DataFrame:
+    """A component of the boundary pool from an earlier table (utterance_id, grounded, max_cosine, threshold)."""
+    return _existing(rows, "grounding_boundary_existing40", "grounded", ["grounded:grounded", "max_cosine:max_cosine", "threshold:threshold"])
+
+
+PERSONA = ["scenario_uid", "persona_name", "entity_name", "professional_persona", "flag_policyrole", "kg_role", "mislabel_source"]
+ROLE = ["policy_id", "model_id", "scenario_uid", "persona_name", "stakeholder_type", "kg_role", "mislabel_source", "entity_name"]
+
+
+def participant_tables(people: DataFrame, all_of: Column, flagged_of: Column, seed: int, n_flagged: int = 15, per_type: int = 10) -> dict[str, DataFrame]:
+    """Three tables for review: every policy role of the sets `all_of`; a sample of the flagged ones of `flagged_of`; a sample of each type.
+
+    people: participants with resolved roles and persona_name. Samples come sorted by scenario, the last one by type first.
+    """
+    shown_ = lambda rows, columns: rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns))
+    keyed = people.withColumn("person", F.concat_ws("#", "scenario_uid", "persona_name"))
+    flagged = sampling.sample(keyed.filter(flagged_of & F.col("flag_policyrole")), n_flagged, seed, "person")
+    typed = sampling.sample_per(keyed, per_type, seed, "person", ["stakeholder_type"])
+    return {
+        "policy_roles": shown_(keyed.filter(all_of & (F.col("stakeholder_type") == "PolicyRole")), PERSONA),
+        "flagged": shown_(flagged.orderBy("scenario_uid", "persona_name"), PERSONA),
+        "roles_by_type": shown_(typed.orderBy("stakeholder_type", "scenario_uid", "persona_name"), ROLE),
+    }
+
+
+SUGGESTED = ["violation", "violation_reason", "grounded", "grounded_score", "fabrication", "fabrication_tokens"]
+
+
+def suggested(rows: DataFrame, nodes: DataFrame, norms: DataFrame, corpus: DataFrame, seed: int, share: float = 0.2) -> DataFrame:
+    """rows with the independent rater's suggested_* as text, blank for a share of them (is_blind), and empty gold_* columns, sorted by set and scenario.
+
+    norms: policy_id, role_type, deontic, fact, ord; corpus: policy_id, ord, text.
+    """
+    key = "utterance_id"
+    label = lambda c: F.coalesce(F.initcap(F.col(c).cast("string")), F.lit(""))
+    violation = reliability.rate_violation(rows, norms, reliability.role_vocabulary(nodes))
+    grounding = reliability.rate_grounding(rows, corpus, ["policy_id"])
+    fabrication = reliability.rate_fabrication(rows, reliability.corpus_blob(corpus, ["policy_id"]), ["policy_id"])
+    out = rows.join(violation.select(key, label("suggested").alias("suggested_violation"), F.col("reason").alias("suggested_violation_reason")), key, "left")
+    out = out.join(grounding.select(key, label("suggested").alias("suggested_grounded"), F.col("score").alias("suggested_grounded_score")), key, "left")
+    out = out.join(fabrication.select(key, label("suggested").alias("suggested_fabrication"), F.col("tokens").alias("suggested_fabrication_tokens")), key, "left")
+    out = sampling.blind(cut(out), share, seed, key, [f"suggested_{c}" for c in SUGGESTED])
+    out = out.select("*", *(F.lit("").alias(f"gold_{c}") for c in ("violation", "grounded", "fabrication")))
+    return out.orderBy("policy_id", "model_id", "scenario_uid", key)

@@ -43,8 +43,10 @@ def stratified(rows: DataFrame, total: int, seed: int, key: str, strata: list[st
 
 
 def blind(rows: DataFrame, share: float, seed: int, key: str, columns: list[str]) -> DataFrame:
-    """rows with is_blind: a share of all rows (rounded half to even), whose `columns` are emptied."""
-    n = F.bround(F.count(F.lit(1)).over(W.partitionBy(F.lit(1))) * share, 0)
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(draw(seed, key), key))
-    marked = rows.withColumn("is_blind", rank <= n)
+    """rows with is_blind: a share of all rows (rounded half to even), whose `columns` are emptied.
+
+    The rows are counted first; the blind ones are a top-k by draw, joined back by the (unique) key.
+    """
+    chosen = sample(rows.select(key), round(rows.count() * share), seed, key).withColumn("is_blind", F.lit(True))
+    marked = rows.join(chosen, key, "left").select(*rows.columns, F.coalesce("is_blind", F.lit(False)).alias("is_blind"))
     return marked.select(*(F.when(F.col("is_blind"), F.lit("")).otherwise(F.col(c).cast("string")).alias(c) if c in columns else F.col(c) for c in marked.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chorale.functions import text as T
@@ -55,16 +56,29 @@ def max_cosine(docs: DataFrame, corpus: DataFrame, keys: list[str]) -> DataFrame
     return docs.select(*keys, "doc_id").join(best, [*keys, "doc_id"], "left").select(*keys, "doc_id", F.coalesce("best", F.lit(0.0)).alias("max_cosine"))
 
 
-def shuffled_corpus(corpus: DataFrame, seed: int, keys: list[str]) -> DataFrame:
-    """A corpus of the same lengths whose words are dealt anew: the word at rank r of md5(seed:doc:place) fills slot r.
+def _rank_by_digest(rows: DataFrame, keys: list[str], digest: str, ties: list[str]) -> DataFrame:
+    """rows with r: the rank of a hexadecimal digest within the keys.
 
-    Ranks come from one sort per key set; the corpus is a table of norms.
+    Rows of a key are ranked in 4,096 ranges of the digest, each with the number of rows in the ranges before it, so no
+    task ranks them all.
     """
-    from pyspark.sql import Window as W
+    ranged = rows.withColumn("range", F.substring(digest, 1, 3))
+    counts = ranged.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy(*keys).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(W.partitionBy(*keys, "range").orderBy(digest, *ties))
+    return ranged.join(offsets, [*keys, "range"]).withColumn("r", F.col("offset") + within).drop("range", "offset")
+
 
+def shuffled_corpus(corpus: DataFrame, seed: int, keys: list[str]) -> DataFrame:
+    """A corpus of the same lengths whose words are dealt anew.
+
+    Words rank by md5(seed:doc:place), slots by md5(slot:seed:doc:place); the word at rank r fills the slot at rank r.
+    """
     words = corpus.select(*keys, "doc_id", F.posexplode(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")).alias("place", "word"))
-    drawn = F.row_number().over(W.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("place").cast("string"))), "doc_id", "place"))
-    slot = F.row_number().over(W.partitionBy(*keys).orderBy("doc_id", "place"))
-    cards, slots = words.select(*keys, "word", drawn.alias("r")), words.select(*keys, "doc_id", "place", slot.alias("r"))
+    place = F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("place").cast("string"))
+    ties = ["doc_id", "place"]
+    cards = _rank_by_digest(words.withColumn("digest", F.md5(place)), keys, "digest", ties).select(*keys, "word", "r")
+    slots = _rank_by_digest(words.withColumn("digest", F.md5(F.concat(F.lit("slot:"), place))), keys, "digest", ties).select(*keys, *ties, "r")
     dealt = slots.join(cards, [*keys, "r"]).groupBy(*keys, "doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("s"))
     return dealt.select(*keys, "doc_id", F.array_join(F.transform("s", lambda x: x["word"]), " ").alias("text"))

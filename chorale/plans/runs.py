@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.functions import cues
-from chorale.operators import cells, diversity, macro, meso, micro, pools, sampling, tfidf
+from chorale.operators import cells, diversity, macro, meso, micro, pools, rollup, sampling, tfidf
 from chorale.operators.cells import SET
 from chorale.sources import files, graph, scenario
+from chorale.sources.storage import cut
 
 
 def parse(spark: SparkSession, config: dict[str, Any], root: str = "") -> dict[str, DataFrame]:
@@ -39,6 +40,7 @@ def parse(spark: SparkSession, config: dict[str, Any], root: str = "") -> dict[s
         "utterances": posts.join(roles, ["scenario_uid", "persona_name"]),
         "problems": scenario.violations_of_structure(docs).unionByName(unknown).unionByName(errors),
         "checks": scenario.set_checks(docs),
+        "acceptance": scenario.acceptance(docs, scenario.violations_of_structure(docs)),
     }
 
 
@@ -88,8 +90,8 @@ def micro_run(utterances: DataFrame, nodes: DataFrame, edges: DataFrame, vectors
     scope = utterances.filter(micro.in_scope(F.col("phase")))
     corpus = graph.grounding_corpus(nodes, edges)
     units = graph.norm_units(nodes, edges).withColumnRenamed("ref_id", "unit_ref").join(unit_vectors, ["policy_id", "unit_ord"])
-    sims = micro.similarities(scope.select("policy_id", "utterance_id").join(vectors, "utterance_id"), units, ["policy_id"])
-    semantic, null = micro.semantic_top1(sims, ["policy_id"]), micro.coherent_null(sims, ["policy_id"], seed)
+    sims = micro.similarities(scope.select("policy_id", "utterance_id").join(vectors, "utterance_id"), units, ["policy_id"], seed=seed)
+    semantic, null = micro.semantic_top1(sims, ["policy_id"]), micro.coherent_null(sims, ["policy_id"])
     lines = scope.select("policy_id", F.col("utterance_id").alias("doc_id"), "text")
     known = corpus.select("policy_id", F.col("ord").alias("doc_id"), "text")
     lexical = tfidf.max_cosine(lines, known, ["policy_id"])
@@ -115,15 +117,75 @@ def micro_run(utterances: DataFrame, nodes: DataFrame, edges: DataFrame, vectors
     }
 
 
-def gold_pools(labels: DataFrame, norms: DataFrame, taus: DataFrame, existing: list[DataFrame], seed: int = 42) -> dict[str, DataFrame]:
-    """random (300 in proportion to sets), subsample (40 a set, a fifth blind), boundary, violation, grounding_boundary."""
-    drawn = sampling.stratified(labels, 300, seed, "utterance_id", SET)
-    few = sampling.sample_per(drawn, 40, seed + 1, "utterance_id", SET)
-    boundary = pools.boundary_pool(labels, existing, seed)
+def gold_pools(
+    labels: DataFrame, nodes: DataFrame, norms: DataFrame, corpus: DataFrame, taus: DataFrame, existing: list[DataFrame], seed: int = 42
+) -> dict[str, DataFrame]:
+    """random (300 in proportion to sets), subsample (40 a set, with the independent rater's suggestions, a fifth blind), boundary, violation, grounding_boundary; sorted.
+
+    existing: components from earlier tables, as `pools.violation_diff_component` and `pools.grounding_component` give them.
+    """
+    by_scenario = [*SET, "scenario_uid", "utterance_id"]
+    labels = cut(labels)
+    drawn = cut(sampling.stratified(labels, 300, seed, "utterance_id", SET))
+    few = cut(sampling.sample_per(drawn, 40, seed + 1, "utterance_id", SET))
+    boundary = cut(pools.boundary_pool(labels, existing, seed))
     return {
-        "random": drawn,
-        "subsample": sampling.blind(few, 0.2, seed + 2, "utterance_id", ["violation", "reason", "grounded", "fabricated"]),
+        "random": drawn.orderBy(*by_scenario),
+        "subsample": pools.suggested(few, nodes, norms, corpus, seed + 2),
         "boundary": boundary,
-        "violation": pools.violation_pool([drawn, boundary], labels, graph.formatted_norms(norms)),
-        "grounding_boundary": pools.grounding_boundary(labels, taus.select("policy_id", F.col("sem_tau").alias("tau")), seed),
+        "violation": pools.violation_pool([drawn, boundary], labels, graph.formatted_norms(norms)).orderBy(*by_scenario),
+        "grounding_boundary": pools.grounding_boundary(labels, taus.select("policy_id", F.col("sem_tau").alias("tau")), seed).orderBy("sem_max_cosine", "utterance_id"),
     }
+
+
+# --- runs that write their results -----------------------------------------------------------------------------------------
+
+LABELS = (
+    "utterance_id policy_id model_id scenario_uid kg_role deontic_status violation_applicable violation violation_reason grounding_status grounded sem_max_cosine "
+    "top1_norm_kind top1_norm_ref top1_norm_text lex_grounded lex_max_cosine fabrication_applicable fabricated unsupported_tokens derived_estimate derived_estimate_tokens"
+).split()
+TRACE = "utterance_id policy_id model_id kg_role sem_max_cosine top1_norm_kind top1_norm_ref top1_norm_text utterance_text".split()
+TRACE_ROWS = 200
+
+
+def label_columns(labels: DataFrame, units: DataFrame) -> DataFrame:
+    """The labels under the names of LABELS, with kind and text of the matched norm. units: policy_id, unit_ref, unit_kind, unit_text."""
+    matched = units.select("policy_id", F.col("unit_ref").alias("top1_norm_ref"), F.col("unit_kind").alias("top1_norm_kind"), F.col("unit_text").alias("top1_norm_text"))
+    out = labels.withColumnsRenamed({"applicable": "violation_applicable", "reason": "violation_reason"}).join(matched, ["policy_id", "top1_norm_ref"], "left")
+    scope = micro.in_scope(F.col("phase"))
+    return out.withColumns({"grounding_status": F.when(scope, "in_scope").otherwise("out_of_scope"), "fabrication_applicable": scope})
+
+
+def write_parse(parsed: dict[str, DataFrame], path: str) -> None:
+    """utterances as JSON lines, the acceptance list and the summaries of sets as CSV."""
+    files.write_jsonl(parsed["utterances"], f"{path}/utterances")
+    files.write_csv(parsed["acceptance"], f"{path}/acceptance")
+    files.write_csv(scenario.set_summary(parsed["utterances"], SET), f"{path}/set_summary")
+
+
+def write_micro(found: dict[str, DataFrame], units: DataFrame, path: str, seed: int = 42) -> None:
+    """Per-utterance labels, threshold sweep of each set and traceability sample as CSV, the sets' rates as JSON."""
+    labels = label_columns(found["labels"], units)
+    files.write_csv(labels, f"{path}/per_utterance_labels", LABELS)
+    name = F.concat_ws("_", *SET).alias("set_name")
+    basis = lambda column, basis: labels.select(name, F.lit(basis).alias("basis"), F.col(column).alias("value")).filter("value is not null")
+    sweep = micro.threshold_sweep(basis("sem_max_cosine", "semantic").unionByName(basis("lex_max_cosine", "lexical_baseline")), ["set_name", "basis"])
+    files.write_csv(sweep.orderBy("set_name", F.desc("basis"), "tau"), f"{path}/grounding_threshold_sweep", ["set_name", "basis", "tau", "n_grounded", "n", "grounded_ratio"])
+    sample = sampling.sample(labels.filter("grounded"), TRACE_ROWS, seed, "utterance_id").withColumnRenamed("text", "utterance_text")
+    files.write_csv(sample, f"{path}/grounding_traceability_sample", TRACE)
+    files.write_results(found["rollup"], f"{path}/set_results", SET)
+
+
+def write_numeric(found: dict[str, DataFrame], path: str) -> None:
+    """Anchoring cells as CSV; meso, forecast and diversity of each set as JSON."""
+    detail = found["anchoring_cells"].withColumn("set_name", F.concat_ws("_", *SET))
+    files.write_csv(detail, f"{path}/anchoring_beta_detail", ["set_name", "scenario_uid", "phase", "target", "beta", "n"])
+    files.write_results(rollup.meso(found), f"{path}/meso_set_results", SET)
+    files.write_results(rollup.listed(found["forecast"]), f"{path}/accuracy_macro", SET)
+    files.write_results(rollup.diversity(found), f"{path}/diversity", SET)
+
+
+def write_pools(found: dict[str, DataFrame], path: str) -> None:
+    """Each pool as CSV."""
+    for name, pool in found.items():
+        files.write_csv(pool, f"{path}/{name}")

@@ -107,7 +107,7 @@ dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}
 _DECOY = rf"""
 dw AS (SELECT doc_id, place, w[place + 1] AS word FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS place FROM (SELECT doc_id, [x FOR x IN string_split_regex(text, '\s+') IF x <> ''] AS w FROM b))),
 dr AS (SELECT word, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id || ':' || place), doc_id, place) AS r FROM dw),
-ds AS (SELECT doc_id, place, row_number() OVER (ORDER BY doc_id, place) AS r FROM dw),
+ds AS (SELECT doc_id, place, row_number() OVER (ORDER BY md5('slot:{SEED}:' || doc_id || ':' || place), doc_id, place) AS r FROM dw),
 decoy AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS text FROM ds JOIN dr USING (r) GROUP BY doc_id)"""
 _REAL, _NULL = _cosine_sql("real", "b"), _cosine_sql("nul", "decoy")
 
@@ -189,7 +189,7 @@ _SIMS = "s AS (SELECT u.vec_id AS utterance_id, n.vec_id AS unit_ord, list_dot_p
 def sims(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
     units = e.filter("label = 0").select(F.col("vec_id").alias("unit_ord"), F.concat(F.lit("unit"), F.col("vec_id").cast("string")).alias("unit_ref"), "vector")
-    return micro.similarities(e.filter("label <> 0").withColumnRenamed("vec_id", "utterance_id"), units, [])
+    return micro.similarities(e.filter("label <> 0").withColumnRenamed("vec_id", "utterance_id"), units, [], seed=SEED)
 
 
 @query("micro_semantic_top1", f"WITH {_SIMS} SELECT utterance_id, round(max(sim), 6) AS sem_max_cosine, 'unit' || arg_max(unit_ord, struct_pack(a := sim, b := -unit_ord)) AS top1_norm_ref FROM s GROUP BY ALL")
@@ -204,7 +204,7 @@ d AS (SELECT *, row_number() OVER (PARTITION BY utterance_id ORDER BY md5('{SEED
 SELECT utterance_id, unit_ord, round(sim, 6) + 0.0 AS value FROM d WHERE q <= 5""",
 )
 def coherent_null(spark, sf_dir):
-    return rounded(micro.coherent_null(sims(spark, sf_dir), [], SEED), "value")
+    return rounded(micro.coherent_null(sims(spark, sf_dir), []), "value")
 
 
 # --- the independent rater on whole tables ---------------------------------------------------------------------------------

@@ -6,6 +6,8 @@ judgment, scenario_impact) stay JSON text, read later as VARIANT.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,6 +182,34 @@ def set_checks(scenarios: DataFrame, per_set: int = 50) -> DataFrame:
     return per.select("policy_id", "model_id", F.explode(checks).alias("c")).select("policy_id", "model_id", "c.*")
 
 
+def acceptance(scenarios: DataFrame, problems: DataFrame, per_set: int = 50, per_folder: int = 10) -> DataFrame:
+    """(policy_id, model_id, check_name, ok): the acceptance list, a named row a check and set, then those over all sets (ids null).
+
+    problems: `violations_of_structure` and the like. Contents are equal if their files' md5 are.
+    """
+    sets = ["policy_id", "model_id"]
+    named = {"participants": "five_participants", "phase_order": "phases_in_order", "post_count": "five_posts_a_round", "persona_set": "posting_order_fits_posts"}
+    broken = scenarios.select(*sets, "scenario_uid").join(problems, "scenario_uid").groupBy(*sets).agg(F.collect_set("problem").alias("broken"))
+    sound = scenarios.select(*sets).distinct().join(broken, sets, "left")
+    rows = [F.struct(F.lit(name).alias("check_name"), (~F.coalesce(F.array_contains("broken", problem), F.lit(False))).alias("ok")) for problem, name in named.items()]
+    sound = sound.select(*sets, F.explode(F.array(*rows)).alias("c")).select(*sets, "c.*")
+    folder = F.regexp_extract("src_path", r"^(.*)/[^/]*$", 1)
+    folders = scenarios.groupBy(*sets, folder.alias("folder")).agg(F.count(F.lit(1)).alias("n")).groupBy(*sets)
+    folders = folders.agg((F.max(F.col("n") != per_folder) == F.lit(False)).alias("ok")).select(*sets, F.lit("files_a_folder").alias("check_name"), "ok")
+    alike = scenarios.groupBy(*sets).agg((F.count_distinct(F.md5(F.to_json("doc"))) == F.count(F.lit(1))).alias("ok"))
+    every = scenarios.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("scenario_uid").alias("u"), F.count_distinct(*sets).alias("s"))
+    every = every.select(
+        F.explode(
+            F.array(
+                F.struct(F.lit("all_scenarios").alias("check_name"), (F.col("n") == F.col("s") * per_set).alias("ok")),
+                F.struct(F.lit("all_uids_unique").alias("check_name"), (F.col("u") == F.col("n")).alias("ok")),
+            )
+        ).alias("c")
+    ).select(*(F.lit(None).cast("string").alias(c) for c in sets), "c.*")
+    parts = [set_checks(scenarios, per_set), sound, folders, alike.select(*sets, F.lit("no_equal_contents").alias("check_name"), "ok"), every]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def set_summary(utterances: DataFrame, keys: list[str]) -> DataFrame:
     """Utterances and scenarios per set, and those with a flag."""
     flag = F.coalesce("flag_policyrole", F.lit(False))

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,10 +98,22 @@ def test_sweep_falls_with_the_threshold(spark):
 
 def test_coherent_null_draws_from_real_units_only(spark):
     sims = spark.createDataFrame([(u, i, "r", i / 10) for u in range(2) for i in range(9)] + [(9, i, "r", 0.5) for i in range(3)], "utterance_id int, unit_ord int, unit_ref string, sim double")
-    got = micro.coherent_null(sims, []).collect()
+    got = micro.coherent_null(sims.withColumn("draw", F.md5(F.concat_ws(":", F.col("utterance_id").cast("string"), F.col("unit_ord").cast("string")))), []).collect()
     assert len(got) == 10 and all(r.value < 0.6 for r in got)
 
 
+def test_similarities_in_blocks_keep_what_is_asked_of_them(spark):
+    unit = lambda i: [float(np.cos(i)), float(np.sin(i))]
+    units = spark.createDataFrame([(i, f"u{i}", unit(i * 0.37)) for i in range(40)], "unit_ord int, unit_ref string, vector array<double>")
+    lines = spark.createDataFrame([(i, unit(i * 1.1)) for i in range(6)], "utterance_id int, vector array<double>")
+    whole = micro.similarities(lines, units, [])
+    parts = micro.similarities(lines, units, [], block=5)
+    assert parts.count() > whole.count() >= 6 * 8
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(micro.semantic_top1(whole, [])) == rows(micro.semantic_top1(parts, []))
+    assert rows(micro.coherent_null(whole, [])) == rows(micro.coherent_null(parts, [])) and micro.coherent_null(parts, []).count() == 30
+
+
 def test_semantic_ties_take_the_first_unit(spark):
     sims = spark.createDataFrame([(1, 2, "b", 0.5), (1, 1, "a", 0.5)], "utterance_id int, unit_ord int, unit_ref string, sim double")
     assert micro.semantic_top1(sims, []).first().top1_norm_ref == "a"
