@@ -10,8 +10,7 @@ Seating is sampled by Gibbs sweeps, all restaurants at once, which auxiliary var
 * given the root's distribution G over words and a Gamma variable g of the context (shape THETA / d + its tables), the tables
   of each dish are independent of all other dishes: t tables for c customers have weight S(c, t) * (d * g * G(dish)) ** t,
   S being the number of seatings (generalised Stirling numbers). Up to FEW customers t is drawn from these weights. Beyond,
-  a Chinese restaurant whose strength fits the weights is seated customer by customer (those that open no table are skipped
-  in one step), and the outcome is accepted or refused by Metropolis and Hastings' rule;
+  a Chinese restaurant whose strength fits the weights is seated customer by customer, and the outcome is accepted or refused by Metropolis and Hastings' rule;
 * the tables of all contexts are the customers of the root, whose tables are drawn likewise, and G is drawn from the Dirichlet
   distribution that its seating gives (for the rest of its mass the mean, the base, stands).
 
@@ -55,6 +54,7 @@ PART_TOKENS, WINDOW_TOKENS = 4 << 20, 3 << 20
 THETA = 1.0
 BURN_IN, SAMPLES = 2, 3
 FEW = 32
+BLOCK = 1 << 18
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BE6546B64)
 
 
@@ -166,25 +166,33 @@ def _few_tables(c: np.ndarray, log_a: np.ndarray, u: np.ndarray, seatings: np.nd
 
 
 def _crowd(c: np.ndarray, strength: np.ndarray, d: float, keys: np.ndarray, *salt: int) -> np.ndarray:
-    """Tables of Chinese restaurants after c customers, by steps from one new table to the next."""
+    """Tables of Chinese restaurants after c customers, seated in blocks of them.
+
+    Customer i opens a table if its draw lies below (strength + d * tables) / (strength + i). In a block this is solved from
+    no new table upwards: tables only add openings, and each customer depends on earlier ones alone, so the rounds end at the
+    one seating that fits. A block at most doubles a restaurant, which takes few rounds.
+    """
     t, n = np.ones(len(c), np.int64), np.ones(len(c), np.int64)
-    open_, turn = np.arange(len(c)), 0
+    open_ = np.flatnonzero(n < c)
     while len(open_):
-        s, td, first, last = strength[open_], t[open_] * d, n[open_], c[open_]
-        start = log_gamma(first - td) - log_gamma(s + first)
-        wanted = np.log(uniform(keys[open_], *salt, turn)) + start
-        none_till = lambda m: log_gamma(m - td) - log_gamma(s + m)  # noqa: B023, E731
-        more = none_till(last) <= wanted
-        low, high = first, last  # the chance that no table is new up to `low` customers is above the wanted one
-        while (wide := high - low > 1).any():
-            middle = np.where(wide, (low + high) // 2, high)
-            below = none_till(middle) <= wanted
-            low, high = np.where(wide & ~below, middle, low), np.where(wide & below, middle, high)
-        open_, high = open_[more], high[more]
-        t[open_] += 1
-        n[open_] = high
-        open_ = open_[high < c[open_]]
-        turn += 1
+        size = np.minimum(np.minimum(np.maximum(n, 2 * FEW), c - n)[open_], BLOCK)
+        now = open_[: max(np.searchsorted(np.cumsum(size), BLOCK, side="right"), 1)]
+        size = size[: len(now)]
+        first = np.cumsum(size) - size
+        at = np.repeat(np.arange(len(now)), size)
+        i = np.arange(len(at)) + (n[now] - first)[at]
+        s = strength[now][at]
+        needed = (uniform(keys[now][at] ^ mix64(i.astype(np.uint64)), *salt) * (s + i) - s) / d - t[now][at]
+        new = needed < 0
+        while True:
+            before = np.cumsum(new) - new
+            more = needed < before - before[first][at]
+            if (more == new).all():
+                break
+            new = more
+        t[now] += np.add.reduceat(new.astype(np.int64), first)
+        n[now] += size
+        open_ = open_[n[open_] < c[open_]]
     return t
 
 
