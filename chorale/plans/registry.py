@@ -31,7 +31,7 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 
 
 def _load() -> None:
-    from chorale.plans import numeric, rules, textual  # noqa: F401
+    from chorale.plans import bound, numeric, rules, textual  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,7 +37,7 @@ _GRAPH = f"""{cte("f_nodes")}, {cte("f_edges")}, g AS (
   UNION ALL SELECT policy_id, 1, ord, 0, fact, CASE WHEN deontic IN ('must', 'can', 'cannot') THEN 'deontic_norm' ELSE 'edge_fact' END, id FROM f_edges
   UNION ALL SELECT policy_id, 1, ord, 1, source_text, 'source_span', id || '#source_text' FROM f_edges),
 t AS (SELECT * FROM g WHERE trim(coalesce(text, '')) <> ''),
-cor AS (SELECT policy_id, CAST(row_number() OVER (PARTITION BY policy_id ORDER BY o) - 1 AS INTEGER) AS ord, text FROM (SELECT policy_id, text, min(part * 100 + ord * 10 + place) AS o FROM t GROUP BY ALL)),
+cor AS (SELECT policy_id, CAST(row_number() OVER (PARTITION BY policy_id ORDER BY o) - 1 AS INTEGER) AS ord, text FROM (SELECT policy_id, text, min(part * 1000000 + ord * 10 + place) AS o FROM t GROUP BY ALL)),
 nrm AS (SELECT policy_id, split_part(source, ':', 1) AS role_type, deontic, fact, ord FROM f_edges WHERE deontic IN ('must', 'can', 'cannot')),
 aut AS (SELECT policy_id, type AS role_type, decision_authority AS phrase, ord FROM f_nodes WHERE coalesce(decision_authority, '') <> '')"""
 
@@ -49,7 +49,7 @@ def kg_corpus(spark, sf_dir):
 
 @query(
     "kg_norm_units",
-    f"""WITH {_GRAPH}, u AS (SELECT policy_id, text, kind, min(part * 100 + ord * 10 + place) AS o, arg_min(ref_id, part * 100 + ord * 10 + place) AS ref_id FROM t GROUP BY ALL)
+    f"""WITH {_GRAPH}, u AS (SELECT policy_id, text, kind, min(part * 1000000 + ord * 10 + place) AS o, arg_min(ref_id, part * 1000000 + ord * 10 + place) AS ref_id FROM t GROUP BY ALL)
 SELECT policy_id, CAST(row_number() OVER (PARTITION BY policy_id ORDER BY o) - 1 AS INTEGER) AS unit_ord, text, kind, ref_id FROM u""",
 )
 def kg_norm_units(spark, sf_dir):

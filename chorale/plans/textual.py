@@ -33,11 +33,9 @@ def distinct_2(spark, sf_dir):
     return rounded(diversity.distinct_n(turns(spark, sf_dir), 2, ["role"]), "distinct_ratio")
 
 
-@query(
-    "div_self_bleu",
-    f"""WITH t AS (SELECT CAST(conv_id % 2 AS VARCHAR) AS policy_id, conv_id, turn, {_WORDS} AS w FROM conversations),
+_SELF_BLEU = f"""WITH t AS (SELECT CAST(conv_id % 2 AS VARCHAR) AS policy_id, conv_id, turn, {_WORDS} AS w FROM conversations),
 o AS (SELECT policy_id, conv_id, row_number() OVER (PARTITION BY policy_id ORDER BY conv_id) AS r FROM (SELECT DISTINCT policy_id, conv_id FROM t)),
-s AS (SELECT t.* FROM t JOIN o USING (policy_id, conv_id) WHERE r <= 200),
+s AS (SELECT t.* FROM t JOIN o USING (policy_id, conv_id) WHERE {{kept}}),
 c AS (SELECT policy_id, conv_id, turn, 1 AS n, g, count(*) AS c FROM (SELECT policy_id, conv_id, turn, unnest({_GRAMS.format(n=1)}) AS g FROM s) GROUP BY ALL
   UNION ALL SELECT policy_id, conv_id, turn, 2 AS n, g, count(*) AS c FROM (SELECT policy_id, conv_id, turn, unnest({_GRAMS.format(n=2)}) AS g FROM s) GROUP BY ALL),
 m AS (SELECT a.policy_id, a.conv_id, a.turn, a.n, a.g, a.c, coalesce(max(b.c), 0) AS other FROM c a LEFT JOIN c b ON a.conv_id = b.conv_id AND a.n = b.n AND a.g = b.g AND a.turn <> b.turn GROUP BY ALL),
@@ -45,11 +43,22 @@ p AS (SELECT policy_id, conv_id, turn, sum(least(c, other)) FILTER (n = 1) AS m1
 l AS (SELECT a.policy_id, a.conv_id, a.turn, len(a.w) AS h, min(struct_pack(d := abs(len(b.w) - len(a.w)), x := len(b.w))).x AS r FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn <> b.turn WHERE len(a.w) > 0 GROUP BY ALL),
 f AS (SELECT l.policy_id, CASE WHEN m1 = 0 THEN 0.0 ELSE (CASE WHEN h > r THEN 1.0 ELSE exp(1 - r / h::DOUBLE) END) * sqrt(m1 / greatest(1, t1)::DOUBLE * (CASE WHEN m2 > 0 THEN m2::DOUBLE ELSE 0.1 END) / greatest(1, t2)::DOUBLE) END AS b
   FROM l JOIN p USING (conv_id, turn))
-SELECT policy_id, count(*) AS n_hypotheses, round(avg(b), 6) AS self_bleu FROM f GROUP BY ALL""",
-)
-def self_bleu(spark, sf_dir):
+SELECT policy_id, count(*) AS n_hypotheses, round(avg(b), 6) AS self_bleu FROM f GROUP BY ALL"""
+
+
+def _self_bleu(spark, sf_dir, max_groups):
     rows = turns(spark, sf_dir).select((F.col("conv_id") % 2).cast("string").alias("policy_id"), F.col("conv_id").alias("group_id"), F.col("turn").alias("member"), "text")
-    return rounded(diversity.self_bleu(rows, ["policy_id"]), "self_bleu")
+    return rounded(diversity.self_bleu(rows, ["policy_id"], max_groups), "self_bleu")
+
+
+@query("div_self_bleu", _SELF_BLEU.replace("{kept}", "true"))
+def self_bleu(spark, sf_dir):
+    return _self_bleu(spark, sf_dir, None)
+
+
+@query("div_self_bleu_first_200", _SELF_BLEU.replace("{kept}", "r <= 200"))
+def self_bleu_first_200(spark, sf_dir):
+    return _self_bleu(spark, sf_dir, 200)
 
 
 # --- coherence of consecutive turns --------------------------------------------------------------------------------------
