@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from chorale.functions import cues
+import chorale
+from chorale.functions import cues, draws
 from chorale.functions import text as T
 
+# Functions of this package travel inside the task, so executors need no copy of the repository.
+cloudpickle.register_pickle_by_value(chorale)
+
 NEGATION, AUTHORITY = "(?iU)" + cues.NEGATION, "(?iU)" + cues.AUTHORITY
 SWEEP = [round(0.10 + 0.05 * i, 2) for i in range(10)]
 
@@ -180,38 +191,135 @@ def separation_gap(real: DataFrame, null: DataFrame, keys: list[str], column: st
 # --- semantic grounding --------------------------------------------------------------------------------------------------
 
 
-def unit_blocks(units: DataFrame, keys: list[str], size: int = 512) -> DataFrame:
-    """(keys, block, units): the norm units in arrays of about `size`."""
-    n = units.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
-    rows = units.join(n, keys) if keys else units.crossJoin(F.broadcast(n))  # one row
-    block = F.pmod(F.xxhash64("unit_ord"), F.col("blocks"))
-    return rows.groupBy(*keys, block.alias("block")).agg(F.collect_list(F.struct("unit_ord", "unit_ref", "vector")).alias("units"))
+#: Utterances met by a block of units at once.
+LINES = 2048
+
 
+def row_blocks(rows: DataFrame, keys: list[str], by: str, columns: list[str], name: str, size: int) -> DataFrame:
+    """(keys, name): the columns of the rows in arrays of about `size`, dealt by the column `by`."""
+    n = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
+    rows = rows.join(n, keys) if keys else rows.crossJoin(F.broadcast(n))  # one row
+    block = F.pmod(F.xxhash64(by), F.col("blocks"))
+    return rows.groupBy(*keys, block.alias("block")).agg(F.collect_list(F.struct(*columns)).alias(name)).drop("block")
 
-def similarities(utterances: DataFrame, units: DataFrame, keys: list[str], skip: int = 3, take: int = 5, seed: int = 20240612, block: int = 512) -> DataFrame:
+
+def similarities(utterances: DataFrame, units: DataFrame, keys: list[str], skip: int = 3, take: int = 5, seed: int = 20240612, block: int = 4096) -> DataFrame:
     """(keys, utterance_id, unit_ord, unit_ref, sim, draw): of the dot products of unit vectors those that `semantic_top1` and `coherent_null` need.
 
-    An utterance meets the units of its policy in blocks and keeps of each block its skip most similar units and the
-    skip + take first by draw, md5(seed:utterance:unit): whatever the skip best of all units are, the `take` first of the
-    others are among them. So rows grow with utterances times blocks, not with pairs.
+    Blocks of utterances meet blocks of units of their policy. An utterance keeps of each block its skip most similar
+    units and the skip + take first by draw, md5(seed:utterance:unit): whatever the skip best of all units are, the `take`
+    first of the others are among them. So rows grow with utterances times blocks, not with pairs. Every pair is
+    computed, in matrices; see `_near`. With take 0 there are no draws: enough for `semantic_top1`, also with skip 1.
+    """
+    spark = utterances.sparkSession
+    text = F.col("utterance_id").cast("string").alias("text")
+    lines = row_blocks(utterances.select(*keys, "utterance_id", text, "vector"), keys, "utterance_id", ["utterance_id", "text", "vector"], "lines", LINES)
+    tail = F.concat(F.lit(":"), F.col("unit_ord").cast("string")).alias("text")
+    blocks = row_blocks(units.select(*keys, "unit_ord", "unit_ref", tail, "vector"), keys, "unit_ord", ["unit_ord", "unit_ref", "text", "vector"], "units", block)
+    met = lines.join(blocks, keys) if keys else lines.crossJoin(blocks)
+    met = met.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    fields = [*(utterances.schema[c] for c in keys), utterances.schema["utterance_id"], units.schema["unit_ord"], units.schema["unit_ref"]]
+    schema = StructType([StructField(f.name, f.dataType) for f in fields] + [StructField("sim", DoubleType()), StructField("draw", StringType())])
+    best, drawn, head = max(skip, 1), skip + take if take else 0, str(seed)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                u, v = batch.column("lines")[i].values, batch.column("units")[i].values
+                heads = [(head if t is None else f"{head}:{t}").encode() for t in u.field("text").to_pylist()]
+                tails = [(t or "").encode() for t in v.field("text").to_pylist()]
+                order = v.field("unit_ord")
+                order = np.where(order.is_null(), np.iinfo(np.int64).max, order.fill_null(0).to_numpy(zero_copy_only=False))
+                r, c, sim, draw = _near(_matrix(u.field("vector")), _matrix(v.field("vector")), heads, tails, order, best, drawn)
+                columns = [batch.column(k).take(pa.array(np.full(len(r), i))) for k in keys]
+                columns += [u.field("utterance_id").take(pa.array(r)), v.field("unit_ord").take(pa.array(c)), v.field("unit_ref").take(pa.array(c)), sim, draw]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return met.mapInArrow(run, schema)
+
+
+def _matrix(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors as rows of doubles, shorter ones filled with 0, and their lengths: -1 for null or a null within."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy().astype(np.int64)
+    held = np.maximum(lengths, 0)
+    flat = vectors.flatten().cast(pa.float64())
+    out = np.zeros((len(lengths), int(held.max(initial=0))))
+    row = np.repeat(np.arange(len(held)), held)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)] = flat.fill_null(0.0).to_numpy()
+    if flat.null_count:
+        lengths[row[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return out, lengths
+
+
+def _least(keys: np.ndarray, k: int) -> np.ndarray:
+    """Per row a number that at least k of its keys reach: the k-th largest, or that of the maxima of groups."""
+    n, groups = keys.shape[1], 128
+    if k < groups <= n // 2:
+        keys = keys[:, : n // groups * groups].reshape(len(keys), -1, groups).max(1)
+    at = max(keys.shape[1] - k, 0)
+    return np.partition(keys, at, axis=1)[:, at]
+
+
+def _places(rows: np.ndarray) -> np.ndarray:
+    """The place of each entry among the entries of its row; equal rows stand together."""
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.empty(0, np.int64)
+    return np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+
+
+def _near(lines: tuple, units: tuple, heads: list[bytes], tails: list[bytes], order: np.ndarray, best: int, drawn: int, cells: int = 1 << 20):
+    """Rows and columns of the pairs that are kept, their dot products (null without vectors of one length) and draws.
+
+    A matrix product finds all pairs within its rounding error of the `best` largest of a line; those are computed again
+    as `text.dot` does, in the order of the elements, and these values decide; of equal ones the first unit by `order`.
+    null comes last, NaN first. Draws are compared by their first 32 bits, the first of them as a whole.
     """
-    blocks = unit_blocks(units, keys, block)
-    u = utterances.select(*keys, "utterance_id", "vector")
-    met = u.join(blocks, keys) if keys else u.crossJoin(blocks)
-    text = F.col("utterance_id").cast("string")
-    near = F.transform(
-        "units",
-        lambda x: F.struct(
-            T.dot(F.col("vector"), x["vector"]).alias("sim"), (-x["unit_ord"]).alias("o"), x["unit_ref"].alias("unit_ref"),
-            F.md5(F.concat_ws(":", F.lit(str(seed)), text, x["unit_ord"].cast("string"))).alias("draw"),
-        ),
-    )
-    met = met.select(*keys, "utterance_id", near.alias("near"))
-    best = F.slice(F.sort_array("near", asc=False), 1, max(skip, 1))
-    by_draw = F.array_sort(F.transform("near", lambda x: F.struct(x["draw"].alias("draw"), (-x["o"]).alias("unit_ord"), x.alias("row"))))
-    drawn = F.transform(F.slice(by_draw, 1, skip + take), lambda x: x["row"])
-    kept = met.select(*keys, "utterance_id", F.explode(F.array_distinct(F.concat(best, drawn))).alias("x"))
-    return kept.select(*keys, "utterance_id", (-F.col("x.o")).alias("unit_ord"), "x.unit_ref", "x.sim", "x.draw")
+    (u, u_len), (v, v_len) = lines, units
+    d, n = max(u.shape[1], v.shape[1]), len(v)
+    u, v = (np.pad(x, ((0, 0), (0, d - x.shape[1]))) for x in (u, v))
+    by_u, by_v = np.ascontiguousarray(u.T), np.ascontiguousarray(v.T)
+    with np.errstate(all="ignore"):
+        slack = 8 * (d + 1) * 2.0**-53 * np.sqrt((u * u).sum(1)) * np.sqrt((v * v).sum(1).max())
+    whole = len({*u_len.tolist(), *v_len.tolist()}) == 1 and v_len[0] >= 0
+    out = []
+    for lo in range(0, len(u), max(1, cells // n)):
+        part = slice(lo, min(lo + max(1, cells // n), len(u)))
+
+        def exact(r, c):
+            s = np.zeros(len(r))
+            with np.errstate(all="ignore"):
+                for x, y in zip(by_u, by_v):
+                    s += x[part][r] * y[c]
+            return s, (u_len[part][r] != v_len[c]) | (v_len[c] < 0)
+
+        with np.errstate(all="ignore"):
+            near = u[part] @ v.T
+        near[np.isnan(near)] = np.inf
+        if not whole:
+            near[(u_len[part, None] != v_len[None]) | (v_len[None] < 0)] = -np.inf
+        with np.errstate(all="ignore"):
+            least = _least(near, best) - slack[part]
+        least[np.isnan(least)] = -np.inf
+        r, c = np.nonzero(near >= least[:, None])
+        s, missing = exact(r, c)
+        kind = np.where(missing, 2, np.where(np.isnan(s), 0, 1))
+        by = np.lexsort((order[c], -np.where(kind == 1, s, 0.0), kind, r))
+        by = by[_places(r[by]) < best]
+        pairs = r[by] * n + c[by]
+        draw = None
+        if drawn:
+            words = ~draws.first_words(heads[part], tails)
+            hits = np.flatnonzero((words >= _least(words, drawn)[:, None]).ravel())
+            first = np.union1d(pairs, hits)
+            r, c = first // n, first % n
+            text = np.array([hashlib.md5(heads[lo + i] + tails[j], usedforsecurity=False).hexdigest() for i, j in zip(r.tolist(), c.tolist())], "S32")
+            by = np.lexsort((order[c], text, r))
+            by = by[(_places(r[by]) < drawn) | np.isin(first[by], pairs)]
+            pairs, draw = first[by], text[by]
+        r, c = pairs // n, pairs % n
+        s, missing = exact(r, c)
+        out.append((r + lo, c, pa.array(s, mask=missing), pa.nulls(len(r), pa.string()) if draw is None else pa.array(draw.astype(str), pa.string())))
+    r, c, s, draw = zip(*out)
+    return np.concatenate(r), np.concatenate(c), pa.concat_arrays(s), pa.concat_arrays(draw)
 
 
 def semantic_top1(sims: DataFrame, keys: list[str]) -> DataFrame:

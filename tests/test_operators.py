@@ -1,11 +1,15 @@
 """Properties and edge cases of the metric operators, readers and writers."""
 
+import functools
+import hashlib
 import json
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chorale.functions import draws
 from chorale.functions import text as T
 from chorale.operators import cells, diversity, macro, meso, micro, reliability, sampling, tfidf
 from chorale.sources import files, graph, scenario
@@ -114,6 +118,36 @@ def test_similarities_in_blocks_keep_what_is_asked_of_them(spark):
     assert rows(micro.coherent_null(whole, [])) == rows(micro.coherent_null(parts, [])) and micro.coherent_null(parts, []).count() == 30
 
 
+def test_first_words_are_those_of_the_digest():
+    heads = [b"20240612:" + b"7" * n for n in (0, 1, 5, 36, 46, 47, 54, 55, 56, 64, 119)]
+    tails = [b":" + str(3**i).encode() for i in range(30)] + [b""]
+    want = [[int(hashlib.md5(h + t).hexdigest()[:8], 16) for t in tails] for h in heads]
+    assert draws.first_words(heads, tails).tolist() == want
+
+
+def test_coherent_null_of_many_pairs_and_odd_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(900, 16)).astype(np.float32).astype(float)
+    vectors[100:160] = vectors[99]  # copies tie
+    units = [(i, f"u{i}", x.tolist()) for i, x in enumerate(vectors)]
+    units[7], units[8], units[9] = (7, "u7", None), (8, "u8", [1.0]), (9, "u9", [float("nan")] * 16)
+    lines = [(i, (vectors[99] + i * x).tolist()) for i, x in enumerate(rng.normal(size=(700, 16)).astype(np.float32).astype(float))] + [(700, None), (701, [0.0] * 16)]
+    began = time.perf_counter()
+    sims = micro.similarities(spark.createDataFrame(lines, "utterance_id int, vector array<double>"), spark.createDataFrame(units, "unit_ord int, unit_ref string, vector array<double>"), [], block=300)
+    null = {}
+    for r in micro.coherent_null(sims, []).collect():
+        null.setdefault(r.utterance_id, {})[r.unit_ord] = r.value
+    top = {r.utterance_id: (r.sem_max_cosine, r.top1_norm_ref) for r in micro.semantic_top1(sims, []).collect()}
+    assert time.perf_counter() - began < 30  # 630,000 pairs twice: minutes when each is an expression of its own
+    assert set(null) == set(top) == set(range(702))
+    for i, x in lines[::50] + lines[-2:]:
+        sim = {j: functools.reduce(lambda s, p: s + p[0] * p[1], zip(x, y), 0.0) if x and y and len(x) == len(y) else None for j, _, y in units}
+        order = sorted(sim, key=lambda j: (sim[j] is None, sim[j] == sim[j], -sim[j] if sim[j] is not None and sim[j] == sim[j] else 0, j))
+        rest = sorted(order[3:], key=lambda j: hashlib.md5(f"20240612:{i}:{j}".encode()).hexdigest())[:5]
+        assert str(null[i]) == str({j: sim[j] for j in null[i]}) and set(null[i]) == set(rest)
+        assert str(top[i][0]) == str(sim[order[0]]) and top[i][1] == f"u{order[0]}"
+
+
 def test_semantic_ties_take_the_first_unit(spark):
     sims = spark.createDataFrame([(1, 2, "b", 0.5), (1, 1, "a", 0.5)], "utterance_id int, unit_ord int, unit_ref string, sim double")
     assert micro.semantic_top1(sims, []).first().top1_norm_ref == "a"
