@@ -195,15 +195,15 @@ def separation_gap(spark, sf_dir):
 _SIMS = "s AS (SELECT u.vec_id AS utterance_id, n.vec_id AS unit_ord, list_dot_product(u.embedding::DOUBLE[], n.embedding::DOUBLE[]) AS sim FROM embeddings u, embeddings n WHERE u.label <> 0 AND n.label = 0)"
 
 
-def sims(spark, sf_dir):
+def sims(spark, sf_dir, **kept):
     e = read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
     units = e.filter("label = 0").select(F.col("vec_id").alias("unit_ord"), F.concat(F.lit("unit"), F.col("vec_id").cast("string")).alias("unit_ref"), "vector")
-    return micro.similarities(e.filter("label <> 0").withColumnRenamed("vec_id", "utterance_id"), units, [], seed=SEED)
+    return micro.similarities(e.filter("label <> 0").withColumnRenamed("vec_id", "utterance_id"), units, [], seed=SEED, **kept)
 
 
 @query("micro_semantic_top1", f"WITH {_SIMS} SELECT utterance_id, round(max(sim), 6) AS sem_max_cosine, 'unit' || arg_max(unit_ord, struct_pack(a := sim, b := -unit_ord)) AS top1_norm_ref FROM s GROUP BY ALL")
 def semantic_top1(spark, sf_dir):
-    return rounded(micro.semantic_top1(sims(spark, sf_dir), []), "sem_max_cosine")
+    return rounded(micro.semantic_top1(sims(spark, sf_dir, skip=1, take=0), []), "sem_max_cosine")
 
 
 @query(

@@ -148,6 +148,16 @@ def test_coherent_null_of_many_pairs_and_odd_vectors_against_brute_force(spark):
         assert str(top[i][0]) == str(sim[order[0]]) and top[i][1] == f"u{order[0]}"
 
 
+def test_top1_needs_one_row_a_block_and_no_draws(spark):
+    rng = np.random.default_rng(6)
+    units = spark.createDataFrame([(i, f"u{i}", x.tolist()) for i, x in enumerate(rng.normal(size=(40, 4)))], "unit_ord int, unit_ref string, vector array<double>")
+    lines = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(6, 4)))], "utterance_id int, vector array<double>")
+    few = micro.similarities(lines, units, [], skip=1, take=0)
+    assert few.count() == 6 and few.filter("draw is not null").isEmpty()
+    rows = lambda sims: sorted(tuple(r) for r in micro.semantic_top1(sims, []).collect())
+    assert rows(few) == rows(micro.similarities(lines, units, [])) == rows(micro.similarities(lines, units, [], skip=1, take=0, block=5))
+
+
 def test_semantic_ties_take_the_first_unit(spark):
     sims = spark.createDataFrame([(1, 2, "b", 0.5), (1, 1, "a", 0.5)], "utterance_id int, unit_ord int, unit_ref string, sim double")
     assert micro.semantic_top1(sims, []).first().top1_norm_ref == "a"
