@@ -305,3 +305,18 @@ def test_trajectory_clusters_of_each_set_against_brute_force(spark):
             a, b = (sum(of[c]) / len(of[c]) for c in (i < 5 + n, i >= 5 + n))
             scores.append((b - a) / max(a, b))
         assert got[m].best_k == 2 and abs(got[m].silhouette - sum(scores) / 12) < 1e-9
+
+
+def test_trajectory_clusters_share_their_jobs_and_survive_copies(spark):
+    rng = np.random.default_rng(3)
+    rows = [("P", str(m), f"s{i}", "Outcomes", t, float(x)) for m in range(4) for i in range(30) for t, x in zip("xy", rng.normal(size=2) + 8 * (i % 3) * np.array([1, 1 + m]))]
+    rows += [("P", "copies", f"s{i}", "Outcomes", "x", float(i % 2)) for i in range(9)] + [("P", "one", f"s{i}", "Outcomes", "x", 1.0) for i in range(9)]
+    table = spark.createDataFrame(rows, "policy_id string, model_id string, scenario_uid string, phase string, target string, estimate double")
+    spark.sparkContext.setJobGroup("clusters", "all sets")
+    got = {r.model_id: r for r in diversity.trajectory_clusters(table, block=7).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("clusters"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 150  # KMeans one by one takes some thousands
+    assert [got[str(m)].best_k for m in range(4)] == [3] * 4 and all(got[str(m)].silhouette > 0.5 for m in range(4))
+    assert (got["copies"].best_k, got["copies"].silhouette) == (2, 1.0) and got["one"].best_k is None
+    assert [r.silhouette for r in diversity.trajectory_clusters(table.repartition(7), block=50).orderBy("model_id").collect()] == pytest.approx([got[m].silhouette for m in sorted(got)])
